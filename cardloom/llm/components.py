@@ -1,0 +1,42 @@
+"""Connected components over an edge table, without bringing links to the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cardloom.llm.common import save
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component_id) for every node that some edge names; component_id is its smallest reachable node.
+
+    Large-star and small-star rounds (Kiveris et al., 2014) until the edges are stars around the
+    smallest nodes. Each round groups with partial minima and is written to the shared folder, so
+    that a lost executor costs one round. A node with very many edges meets them only in joins, which
+    adaptive execution splits. Self-edges and nulls are ignored; repeated edges count once.
+    """
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b))).distinct()
+    e = save(e)
+    state = None
+    while True:
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: neighbours above u go to the smallest of u and its neighbours
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # small star: neighbours below u, and u, go to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        e = save(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
+        if new == state or (new[0] == new[2] and _flat(e)):
+            break
+        state = new
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionAll(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
+    )
+
+
+def _flat(e: DataFrame) -> bool:
+    """No node is both a leaf and a centre: each edge goes to the root of its star."""
+    return e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
