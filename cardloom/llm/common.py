@@ -193,7 +193,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def size_bytes(df: DataFrame) -> int:
     """The optimizer's size of a scan (compressed files): the only use is to choose a number of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, per: int = 16 << 20) -> int:

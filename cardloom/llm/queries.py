@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import read_table
+from cardloom.llm import language_id, packing, quality, token_files, toxicity
+from cardloom.llm.common import crc_mod, read_table
 from cardloom.llm.embedding_dedup import embedding_near_dedup
 from cardloom.llm.kdtree_search import exact_top_k, integer_vectors
 
@@ -18,14 +19,56 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(read_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), token_files.default_path(spark))
+    return token_files.read_tokens(spark, data)
+
+
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, log_weight, n_grams, gumbel_key, selected for each document; only labels and texts are looked at."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs.where(~held_out), read_table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    prototypes = language_id.fit_prototypes(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.cut_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(cut)
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_token_files": op2_token_files,
+    "op3_quality_resampling": op3_quality_resampling,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
