@@ -11,6 +11,7 @@ from cardloom.llm import language_id, packing, quality, token_files, toxicity
 from cardloom.llm.common import crc_mod, read_table
 from cardloom.llm.embedding_dedup import embedding_near_dedup
 from cardloom.llm.kdtree_search import exact_top_k, integer_vectors
+from cardloom.llm.minhash_dedup import minhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,10 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup(read_table(spark, sf_dir, "documents"), 5, 85)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 5) == 0
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_files": op2_token_files,
     "op3_quality_resampling": op3_quality_resampling,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op8_exact_top_k": op8_exact_top_k,
@@ -88,6 +94,26 @@ WITH RECURSIVE e AS (
 ), comp AS (SELECT n, min(m) AS c FROM reach GROUP BY n), links AS (SELECT a, count(*) AS k FROM pairs GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, c AS component_id, e.vec_id = c AS kept
 FROM e JOIN comp ON comp.n = e.vec_id LEFT JOIN links ON links.a = e.vec_id
+""",
+    "op4_minhash_dedup": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+pairs AS (
+  SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), reach AS (
+  SELECT doc_id AS n, doc_id AS m FROM documents
+  UNION
+  SELECT r.n, p.b FROM reach r JOIN pairs p ON r.m = p.a
+), comp AS (SELECT n, min(m) AS c FROM reach GROUP BY n)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d JOIN comp ON comp.n = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
     "op8_exact_top_k": """
 WITH v AS (
