@@ -12,6 +12,7 @@ from cardloom.llm.common import crc_mod, read_table
 from cardloom.llm.embedding_dedup import embedding_near_dedup
 from cardloom.llm.kdtree_search import exact_top_k, integer_vectors
 from cardloom.llm.minhash_dedup import minhash_near_dedup
+from cardloom.llm.substring_dedup import remove_repeated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(read_table(spark, sf_dir, "documents"), 13)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.cut_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packing.pack(cut)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -125,5 +131,22 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op9_substring_dedup": """
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, CAST(i AS BIGINT) AS i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM d, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) AS t(i) WHERE len(w) >= 13
+), low AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT win.doc_id, win.i + j AS p FROM win JOIN low USING (g), unnest(range(0, 13)) AS t(j) WHERE m < win.doc_id
+), lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, w, coalesce(len(ps), 0) AS n_removed,
+         CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, CAST(len(w) + 1 AS BIGINT))), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END AS k
+  FROM d LEFT JOIN lists USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """,
 }
