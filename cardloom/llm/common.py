@@ -123,6 +123,13 @@ class Words:
                 more, at = more[left > 8], at + 8
         return h
 
+    def suffix_hashes(self, n: int) -> np.ndarray:
+        """A 64-bit hash of the last ``n`` (at most 8) bytes of each word."""
+        short = np.minimum(self.ends - self.starts, n)
+        own = Words.__new__(Words)
+        own.buf, own.starts, own.ends = self.buf, self.ends - short, self.ends
+        return own.hashes(8)
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, with what stands between them."""
         return self.buf[self.starts[a] : self.ends[b - 1]].tobytes()

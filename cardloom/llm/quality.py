@@ -1,6 +1,6 @@
 """Quality by importance resampling (Xie et al., 2023): hashed n-gram models of target and raw text.
 
-The log importance weight of a text is the sum over its words and word pairs of log p_target - log p_raw,
+The log importance weight of a text is the sum over its words, word pairs and word ends of log p_target - log p_raw,
 both taken over 2 ** bits hash buckets. Texts are sampled without replacement by Gumbel top-k: the k with
 the largest log weight plus Gumbel noise.
 """
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,12 +23,13 @@ LABELLED = 20_000
 
 
 def ngram_buckets(batch: pa.RecordBatch, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, bucket) of each word and each pair of neighbouring words, with repeats."""
+    """(doc, bucket) of each word, each pair of neighbouring words and each word's last three bytes, with repeats."""
     w = words_of(batch, lower=True)
     h, shift = w.hashes(), np.uint64(64 - bits)
     same = np.flatnonzero(w.doc[1:] == w.doc[:-1]) if len(w) else np.empty(0, np.int64)
     pair = fmix(h[same] * _GOLD + h[same + 1]) if len(same) else np.empty(0, np.uint64)
-    return np.concatenate([w.doc, w.doc[same]]).astype(np.int64), np.concatenate([fmix(h) >> shift, pair >> shift]).astype(np.int64)
+    keys = np.concatenate([fmix(h), pair, fmix(w.suffix_hashes(3) ^ _GOLD)])
+    return np.concatenate([w.doc, w.doc[same], w.doc]).astype(np.int64), (keys >> shift).astype(np.int64)
 
 
 def bucket_counts(docs: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -47,24 +48,28 @@ def bucket_counts(docs: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 0.1) -> np.ndarray:
-    p, q = target + smooth, raw + smooth
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw; the target's counts are smoothed by one pseudo-count a bucket, dealt out as the raw text is."""
+    q = (raw + 0.01) / (raw + 0.01).sum()
+    p = (target + len(raw) * q) / (target.sum() + len(raw))
+    return np.log(p) - np.log(q)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: int = BITS) -> tuple[np.ndarray, float]:
     """The table of log ratios, and the log weight per n-gram under which a text is taken for low quality.
 
     Target: texts labelled quality = 1. Raw: all texts. At most ``labelled`` labels are used, those with
-    the smallest hash of doc_id. The limit is the one with the highest balanced accuracy on these texts,
-    placed in the middle of the gap; without labels of both kinds nothing is rejected.
+    the smallest hash of doc_id. Two thirds of the good texts make the target model; the limit is the one
+    that gains most on the rest of the labels, which the model has not seen: the share of bad texts under it
+    less five times the share of good ones, placed in the middle of the gap. Without labels of both kinds there nothing is rejected.
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     texts = save(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # at most `labelled` ids
-    table = log_ratio(bucket_counts(texts.where("quality = 1"), bits), bucket_counts(docs, bits))
-    seen = weights(texts, table, bits).select("quality", "log_weight", "n_grams").collect()  # at most `labelled` rows of three numbers
+    held_out = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0
+    table = log_ratio(bucket_counts(texts.where("quality = 1").where(~held_out), bits), bucket_counts(docs, bits))
+    seen = weights(texts.where(held_out), table, bits).select("quality", "log_weight", "n_grams").collect()  # at most `labelled` rows of three numbers
     x = np.array([r["log_weight"] / max(1, r["n_grams"]) for r in seen])
     y = np.array([r["quality"] for r in seen])
     if not len(y) or not (y == 1).any() or not (y == 0).any():
@@ -72,17 +77,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: int
     o = np.argsort(x, kind="stable")
     x, y = x[o], y[o]
     bad, good = np.cumsum(y == 0) / (y == 0).sum(), np.cumsum(y == 1) / (y == 1).sum()
-    i = int((bad - good).argmax())
+    i = int((bad - 5 * good).argmax())  # a good text that goes is worse than a bad one that stays
     limit = (x[i] + x[i + 1]) / 2 if i + 1 < len(x) else x[i] + 1
     return table, float(limit)
 
 
-def weights(docs: DataFrame, table: np.ndarray, bits: int = BITS) -> DataFrame:
-    """The columns of ``docs`` but text, then log_weight and n_grams; 0 and 0 for null and empty texts."""
+def weights(docs: DataFrame, table: np.ndarray, bits: int = BITS, with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only if asked for), then log_weight and n_grams; 0 and 0 for null and empty texts."""
     spark = docs.sparkSession
     ship(spark)
     ratios = spark.sparkContext.broadcast(table.astype(np.float64))  # 2 ** bits numbers whatever the input
-    keep = [c for c in docs.columns if c not in ("text", "log_weight", "n_grams")]
+    keep = [c for c in docs.columns if c not in ("log_weight", "n_grams") and (c != "text" or with_text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ratios.value
@@ -91,7 +96,7 @@ def weights(docs: DataFrame, table: np.ndarray, bits: int = BITS) -> DataFrame:
             s, n = np.bincount(doc, t[k], b.num_rows), np.bincount(doc, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64()), pa.array(n, pa.int64())], [*keep, "log_weight", "n_grams"])
 
-    return docs.select(*keep, "text").mapInArrow(run, StructType([docs.schema[c] for c in keep]).add("log_weight", "double").add("n_grams", "long"))
+    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, StructType([docs.schema[c] for c in keep]).add("log_weight", "double").add("n_grams", "long"))
 
 
 def kth_largest(values: DataFrame, k: int) -> tuple[int, int]:
@@ -112,26 +117,37 @@ def kth_largest(values: DataFrame, k: int) -> tuple[int, int]:
     return (prefix ^ (1 << 63)) - (1 << 64) if prefix ^ (1 << 63) >= 1 << 63 else prefix ^ (1 << 63), left
 
 
-def resample(weighted: DataFrame, k: int, seed: int = 11, temperature: float = 1.0) -> DataFrame:
-    """``weighted`` (doc_id, log_weight, ...) with gumbel_key and selected: the k largest keys, exactly.
+def gumbel_key(log_weight: Column, seed: int, temperature: float) -> Column:
+    """log_weight plus Gumbel noise that is a function of doc_id and ``seed``: a task that runs again gives the same."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return log_weight - F.lit(temperature) * F.log(-F.log(u))
+
+
+def top_k(keyed: DataFrame, k: int) -> Column:
+    """Whether a row is among the ``k`` with the largest gumbel_key, for ``keyed`` (doc_id, gumbel_key) and rows like it.
 
-    The noise is a function of doc_id and ``seed``, so that a task that runs again gives the same. Equal
-    keys go to the smaller doc_id; rows repeated under a doc_id share one key and may both be selected.
+    Equal keys (to a millionth) go to the smaller doc_id; rows repeated under a doc_id share one key and may all be chosen.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = save(weighted.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u))))
     n = keyed.count()
-    if k >= n:
-        return keyed.withColumn("selected", F.lit(True))
-    if k <= 0:
-        return keyed.withColumn("selected", F.lit(False))
-    # keys as integers of the same order: a millionth of a nat
-    key = F.round(F.col("gumbel_key") * 1e6).cast("long")
+    if k >= n or k <= 0:
+        return F.lit(k > 0)
+    key = F.round(F.col("gumbel_key") * 1e6).cast("long")  # integers in the same order
     kth, ties = kth_largest(keyed.select(key.alias("key")), k)
     same = keyed.where(key == kth)
-    last = same.orderBy("doc_id").limit(ties).agg(F.max("doc_id")).first()[0] if ties else None
-    chosen = (key > kth) | ((key == kth) & F.coalesce(F.col("doc_id") <= F.lit(last), F.lit(False)))
-    return keyed.withColumn("selected", chosen)
+    if same.count() <= ties:
+        return key >= kth
+    last = kth_largest(same.where("doc_id is not null").select((-F.col("doc_id")).alias("key")), ties)[0]
+    return (key > kth) | ((key == kth) & F.coalesce(-F.col("doc_id") >= F.lit(last), F.lit(False)))
+
+
+def resample(weighted: DataFrame, k: int, seed: int = 11, temperature: float = 1.0) -> DataFrame:
+    """``weighted`` (doc_id, log_weight, ...) with gumbel_key and selected: the k largest keys, exactly."""
+    keyed = save(weighted.withColumn("gumbel_key", gumbel_key(F.col("log_weight"), seed, temperature)))
+    return keyed.withColumn("selected", top_k(keyed.select("doc_id", "gumbel_key"), k))
+
+
+def _beyond(limit: float) -> Column:
+    return F.col("log_weight") - F.lit(limit) * F.col("n_grams")
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
@@ -146,7 +162,18 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
     w = weights(docs.select("doc_id", "text"), table)
     if limit == -np.inf:
         return w.withColumn("gumbel_key", F.col("log_weight")).withColumn("selected", F.lit(True))
-    w = save(w)
-    margin = w.withColumn("raw", F.col("log_weight")).withColumn("log_weight", F.col("log_weight") - F.lit(limit) * F.col("n_grams"))
-    k = margin.where("log_weight >= 0").count()
-    return resample(margin, k, seed).withColumn("log_weight", F.col("raw")).drop("raw")
+    keyed = save(w.withColumn("gumbel_key", gumbel_key(_beyond(limit), seed, 1.0)))
+    k = keyed.where(_beyond(limit) >= 0).count()
+    return keyed.withColumn("selected", top_k(keyed.select("doc_id", "gumbel_key"), k))
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` selects, with all their columns. Texts are weighed twice and never shuffled."""
+    table, limit = fit(docs, labels)
+    if limit == -np.inf:
+        return docs
+    key = gumbel_key(_beyond(limit), seed, 1.0)
+    keyed = save(weights(docs.select("doc_id", "text"), table).withColumn("gumbel_key", key))
+    k = keyed.where(_beyond(limit) >= 0).count()
+    chosen = top_k(keyed.select("doc_id", "gumbel_key"), k)
+    return weights(docs, table, with_text=True).withColumn("gumbel_key", key).where(chosen).select(*docs.columns)

@@ -15,6 +15,7 @@ a passage in a third of all documents is one pattern in each group.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -22,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from cardloom.llm.common import _GOLD, fmix, pieces, shingles, ship, size_bytes, words_of
 
 WINDOW = 13
 PATTERNS = 60_000  # windows in one automaton
+_WORD = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 _ANSWER = "doc_id long, hit boolean, at binary, grp binary"
 
 
@@ -201,7 +205,7 @@ def build_automata(passages: list[tuple[int, list[bytes]]], window: int, most: i
     automata, a = [], None
     for i, (k, doc) in enumerate(owner.items()):
         if i % most == 0:
-            a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             automata.append(a)
         a.add_word(k, doc)
     for a in automata:
@@ -221,22 +225,35 @@ def covered(words: list[bytes], doc: int, ids: dict[bytes, int], automata: list,
     return np.cumsum(edge[:-1]) > 0
 
 
+def without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text less the words that are gone and the white space before them."""
+    parts = _WORD.findall(text)
+    tail = text[sum(map(len, parts)) :]
+    return (b"".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g]) + tail).strip()
+
+
 def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and text: the kept words joined by one space) for each row of ``docs`` (doc_id, text).
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
     doc_id. Null texts have no words. Rows repeated under a doc_id do not remove each other's words. Rows
-    without doc_id stay whole and remove nothing. doc_ids must not be negative. An empty table gives an empty result.
+    without doc_id stay whole and remove nothing. An empty table gives an empty result.
+
+    with_text: also text, where the kept words have the white space that stood before them (untouched if no
+    word went), and rest, a struct of all other columns of ``docs``.
     """
     spark = docs.sparkSession
     ship(spark)
     size = size_bytes(docs)
     bins, groups = max(64, size // (8 << 20)), max(64, size // (1 << 20))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    other = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    rest = F.struct(*(F.col(f"`{c}`") for c in other)) if other else F.lit(None).cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
     found = find_recurring(docs, window, bins, groups).groupBy("doc_id").agg(F.max("hit").alias("hit"), F.collect_list("at").alias("at"), F.collect_list("grp").alias("grp"))  # at most a row of each bin and of the document's stretch
-    schema = "grp int, kind int, doc_id long, n_words int, n_removed int, kept_sha256 string, text binary"
-    names = ["grp", "kind", "doc_id", "n_words", "n_removed", "kept_sha256", "text"]
-    types = dict(zip(names, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True))
+    plain = "grp int, kind int, doc_id long, n_words int, n_removed int, kept_sha256 string, text binary"
+    schema = StructType(list(_parse_datatype_string(plain))).add("rest", docs.schema["rest"].dataType, True)
+    names = [f.name for f in schema]
+    types = {f.name: to_arrow_type(f.dataType) for f in schema}
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
@@ -244,10 +261,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             rows = []
-            ids = b.column("doc_id").fill_null(-1).to_numpy()
-            own = group_of(ids, groups)
+            own = group_of(b.column("doc_id").fill_null(0).to_numpy(), groups)
             for i in range(b.num_rows):
-                doc = None if ids[i] == -1 else int(ids[i])
+                doc, more = b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py()
                 raw = (b.column("text")[i].as_py() or "").encode()
                 words = raw.split()
                 if b.column("at")[i].is_valid and len(b.column("at")[i]):
@@ -258,12 +274,11 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                     cuts = np.r_[np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]), len(grp)]
                     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                         text = b"\n".join(b" ".join(words[s:e]) for s, e in _runs(np.unique(at[x:y]), window))
-                        rows.append((int(grp[x]), 0, doc, None, None, None, text))
+                        rows.append((int(grp[x]), 0, doc, None, None, None, text, None))
                 if b.column("hit")[i].as_py():
-                    rows.append((int(own[i]), 1, doc, None, None, None, b" ".join(words)))
+                    rows.append((int(own[i]), 1, doc, None, None, None, raw, more))
                 else:
-                    kept = b" ".join(words)
-                    rows.append((int(own[i]), 2, doc, len(words), 0, sha256(kept).hexdigest(), kept if with_text else None))
+                    rows.append((int(own[i]), 2, doc, len(words), 0, sha256(b" ".join(words)).hexdigest(), raw if with_text else None, more))
                 if len(rows) >= 512:
                     yield table(rows)
                     rows = []
@@ -271,7 +286,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                 yield table(rows)
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16)
-    dealt = docs.join(found, "doc_id", "left").select("doc_id", "text", "hit", "at", "grp").mapInArrow(deal, schema)
+    dealt = docs.join(found, "doc_id", "left").select("doc_id", "text", "rest", "hit", "at", "grp").mapInArrow(deal, schema)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, built = None, [], None
@@ -291,9 +306,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                 words = r["text"].split()
                 gone = covered(words, r["doc_id"], *built, window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                rows.append((now, 1, r["doc_id"], len(words), int(gone.sum()), sha256(kept).hexdigest(), kept if with_text else None))
+                text = (without(r["text"], gone) if gone.any() else r["text"]) if with_text else None
+                rows.append((now, 1, r["doc_id"], len(words), int(gone.sum()), sha256(kept).hexdigest(), text, r["rest"]))
             if rows:
                 yield table(rows)
 
     done = dealt.repartition(n, "grp").sortWithinPartitions("grp", "kind").mapInArrow(locate, schema)
-    return done.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_removed").cast("long").alias("n_removed"), "kept_sha256", *([F.decode("text", "UTF-8").alias("text")] if with_text else []))
+    return done.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_removed").cast("long").alias("n_removed"), "kept_sha256", *([F.decode("text", "UTF-8").alias("text"), "rest"] if with_text else []))
