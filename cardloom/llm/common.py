@@ -199,8 +199,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def size_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a scan (compressed files): the only use is to choose a number of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """About the bytes of ``df`` in compressed files; the only use is to choose numbers of partitions.
+
+    The optimizer knows it for scans. Where it does not (rows from the driver, joins), the texts are measured.
+    """
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n < 1 << 50:
+        return n
+    return int(df.agg(F.sum(F.length("text"))).first()[0] or 0) // 2
 
 
 def parts(df: DataFrame, per: int = 16 << 20) -> int:

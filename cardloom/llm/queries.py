@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import language_id, packing, quality, token_files, toxicity
+from cardloom.llm import language_id, packing, quality, sentencepiece_lattice, token_files, toxicity
 from cardloom.llm.common import crc_mod, read_table
 from cardloom.llm.embedding_dedup import embedding_near_dedup
 from cardloom.llm.kdtree_search import exact_top_k, integer_vectors
@@ -57,6 +57,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit numbers) for each document."""
+    return sentencepiece_lattice.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
