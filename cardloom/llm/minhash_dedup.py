@@ -8,8 +8,8 @@ far below the threshold is confirmed on the full sets.
 
 Documents with equal sets are one class, and only its first document goes on. Within a bucket each member meets
 the first one (a star); only buckets whose members are then still in different components are
-compared in full, in tiles and inside numpy, where pairs of one component are left out. So a group of
-thousands of near copies costs its size, not its square, and no pairs but likely links leave a task.
+compared in full, in tiles and inside numpy, where pairs of one component are left out. No pairs leave
+such a block, but at most one link for each of its rows.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.common import _GOLD, fmix, pieces, save, shingles, ship, words_of
 from cardloom.llm.components import connected_components
+from cardloom.llm.embedding_dedup import forest
 
 BITS = 2
 HASHES, ROWS = 192, 6
-TILE = 512
+TILE = 256
 _PACK = np.uint64(0x5555555555555555)
 
 
@@ -135,17 +136,24 @@ def _estimated(pairs: DataFrame, floor: float, hashes: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, s (sorted shingle hashes) of the documents that ``ids`` names.
+
+    The ids grow with the input, so they are never broadcast: the join is by shuffle at every size.
+    """
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             g, first = document_sets(b, k)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "s": pa.array([g[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
-    sets = save(wanted.mapInArrow(to_set, "doc_id long, s binary"))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return save(wanted.mapInArrow(to_set, "doc_id long, s binary"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -164,31 +172,63 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return two.select("a", "b", "s1", "s2").mapInArrow(check, "a long, b long")
 
 
-def _tiled(members: DataFrame, floor: float, hashes: int, tile: int) -> DataFrame:
-    """Likely links (a, b) between members (key, doc_id, comp, sig) of one bucket but different components.
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each pair of sets shares, exactly: products of 0/1 matrices, some columns at a time."""
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, inv, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n > 1)
+    place = np.full(len(names), -1)
+    place[shared] = np.arange(len(shared))
+    col = place[inv]
+    who, col = who[col >= 0], col[col >= 0]
+    o = np.argsort(col, kind="stable")
+    who, col = who[o], col[o]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for s in range(0, len(shared), columns):
+        i, j = np.searchsorted(col, [s, s + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[who[i:j], col[i:j] - s] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def _tiled(members: DataFrame, sets: DataFrame, floor: float, percent: int, hashes: int, tile: int) -> DataFrame:
+    """Links (a, b) that connect what all links between members (key, doc_id, comp, sig) of one bucket but different components connect.
 
     A bucket of up to ``tile`` members is one block; a larger one is cut at random into tiles, and each
-    pair of tiles is a block of its own, so that a block holds at most about 2 * tile rows.
+    pair of tiles is a block of its own, so that a block holds at most about 2 * tile rows. A block
+    estimates all its pairs from the packed bits and confirms the rest on the full sets; what leaves it is no
+    more than one link a row.
     """
     size = members.groupBy("key").agg(F.count("*").alias("size"))
     m = members.join(size, "key").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     m = m.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     # block (low, high) of tiles; a tile takes part in `tiles` blocks
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "doc_id", "comp", "sig")
+    m = m.select("key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "doc_id", "comp", "sig").join(sets, "doc_id")
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
         ids, comp = t.column("doc_id").to_numpy(), t.column("comp").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-        found = []
-        for s in range(0, len(ids), 128):
-            ok = (estimate(equal_groups(sig[s : s + 128, None], sig[None, :], hashes), hashes) >= floor) & (comp[s : s + 128, None] != comp[None, :]) & (ids[s : s + 128, None] < ids[None, :])
-            i, j = np.nonzero(ok)
-            found.append(np.stack([ids[i + s], ids[j]]))
-        a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return m.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+        likely = np.zeros((len(ids), len(ids)), bool)
+        for s in range(0, len(ids), 64):
+            likely[s : s + 64] = (estimate(equal_groups(sig[s : s + 64, None], sig[None, :], hashes), hashes) >= floor) & (comp[s : s + 64, None] != comp[None, :])
+        rows = np.flatnonzero(likely.any(1))
+        if not len(rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        s = t.column("s")
+        each = [np.frombuffer(s[int(i)].as_buffer(), np.uint64) for i in rows]
+        n = np.array([len(x) for x in each])
+        same = intersections(each)
+        i, j = np.nonzero(likely[np.ix_(rows, rows)] & (100 * same >= percent * (n[:, None] + n[None, :] - same)))
+        order = np.argsort(ids[rows], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        a, b = forest(rank[i], rank[j], len(rows))
+        named = ids[rows][order]
+        return pa.table({"a": pa.array(named[a]), "b": pa.array(named[b])})
+
+    return m.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, tile: int = TILE, margin: float = 0.155) -> DataFrame:
@@ -227,8 +267,8 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     labelled = members.join(comp.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(sigs, "doc_id")
-    more = save(_tiled(rest, floor, hashes, tile))
-    more_links = save(_confirmed(more, docs, k, percent))
+    rest = save(rest)
+    more_links = save(_tiled(rest, full_sets(docs, rest.select("doc_id"), k), floor, percent, hashes, tile))
     edges = links.unionAll(more_links).unionAll(copies)
     final = connected_components(edges)
     return sk.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").select(
