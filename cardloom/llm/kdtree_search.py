@@ -172,10 +172,10 @@ def _search_dim(vectors: DataFrame, queries: DataFrame, dim: int, shards: int, b
 def integer_vectors(df: DataFrame, scale: float = 1024.0) -> DataFrame:
     """(vec_id, x): floor(scale * component) of the vectors without null or non-finite components.
 
-    Rows that repeat a vec_id count once (the smallest vector); rows without vec_id and null vectors
-    take no part; an empty vector has product 0 with others of its kind.
+    Rows that repeat a vec_id count once (the smallest vector); rows without vec_id, null and
+    empty vectors take no part.
     """
     v = F.col("embedding").cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(F.col("v").isNotNull()).where(ok)
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(F.col("v").isNotNull() & (F.size("v") > 0)).where(ok)
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("x"))

@@ -49,9 +49,10 @@ def bucket_counts(docs: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw; the target's counts are smoothed by one pseudo-count a bucket, dealt out as the raw text is."""
+    """log p_target - log p_raw; the target's counts are smoothed by one pseudo-count a bucket (but no more than there are counts), dealt out as the raw text is."""
     q = (raw + 0.01) / (raw + 0.01).sum()
-    p = (target + len(raw) * q) / (target.sum() + len(raw))
+    extra = min(len(raw), max(1.0, target.sum()))
+    p = (target + extra * q) / (target.sum() + extra)
     return np.log(p) - np.log(q)
 
 
