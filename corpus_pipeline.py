@@ -25,11 +25,12 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def check_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hyperdimensional language ID: texts without letters go, and those that are plainly in another language than they claim.
 
-    Plainly: the cosine with the language found is at least 0.5. A null language claims nothing.
+    Plainly: the cosine with the language found is at least 0.95, which texts of two languages and short ones rarely
+    reach; such texts stay. A null language claims nothing.
     """
     prototypes = language_id.fit_prototypes(docs.select("doc_id", "text", "lang"))
     found = language_id.identify(docs, prototypes)
-    wrong = F.coalesce(F.col("lang_pred") != F.col("lang"), F.lit(False)) & (F.col("score") >= 0.5)
+    wrong = F.coalesce(F.col("lang_pred") != F.col("lang"), F.lit(False)) & (F.col("score") >= 0.95)
     return found.where((F.col("lang_pred") != "und") & ~wrong).select(*docs.columns)
 
 
