@@ -38,6 +38,20 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (fmix(ids.astype(np.int64).view(np.uint64) ^ _GOLD) % np.uint64(groups)).astype(np.int32)
 
 
+def bin_of(h: np.ndarray, bins: int) -> np.ndarray:
+    """Bins are ranges of the top bits, so that a bin and the low 56 bits tell hashes apart by 56 + log2(bins) bits."""
+    return ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64)
+
+
+def _zip(b: bytes) -> bytes:
+    """A text for a shuffle: the length and the text by zstd, which halves it once more than Spark's codec."""
+    return len(b).to_bytes(4, "little") + pa.compress(b, codec="zstd", asbytes=True)
+
+
+def _unzip(b: bytes) -> bytes:
+    return pa.decompress(b[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
@@ -120,7 +134,7 @@ def find_recurring(docs: DataFrame, window: int, bins: int, groups: int) -> Data
                 spread = np.arange(len(mine["doc_id"])) % bins
                 yield _batch({"bin": spread.tolist(), **mine}, names)
             h, doc, at = h[keep], doc[keep], at[keep]
-            where = ((h >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
+            where = bin_of(h, bins)
             o = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[o], np.arange(bins + 1))
             out: dict[str, list] = {c: [] for c in ("bin", "n", "docs", "at", "h")}
@@ -137,7 +151,7 @@ def find_recurring(docs: DataFrame, window: int, bins: int, groups: int) -> Data
                     out["n"].append(len(part))
                     out["docs"].append(np.array([len(heads)], "<i4").tobytes() + _squeeze(table))
                     out["at"].append(_squeeze(gap.astype("<i4")))
-                    out["h"].append(h[part].astype("<u8").tobytes())
+                    out["h"].append(h[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes())  # the bin stands for the top bits
             if out["bin"]:
                 yield _batch(out, names)
 
@@ -174,7 +188,9 @@ def find_recurring(docs: DataFrame, window: int, bins: int, groups: int) -> Data
                 total = np.cumsum(gap)
                 heads = np.r_[0, np.cumsum(table[k:])[:-1]]
                 at = total - np.repeat(total[heads] - gap[heads], table[k:])
-                held.append((np.frombuffer(get("h"), "<u8"), doc, at))
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :7] = np.frombuffer(get("h"), np.uint8).reshape(-1, 7)
+                held.append((low.view("<u8").ravel(), doc, at))
             if passed["doc_id"]:
                 yield _batch(passed, ["doc_id", "hit", "at", "grp"])
         if held:
@@ -258,13 +274,20 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            rows = []
+            z = pa.array([None if t is None else _zip(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), z, b.column("rest")], ["doc_id", "z", "rest"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
             own = group_of(b.column("doc_id").fill_null(0).to_numpy(), groups)
             for i in range(b.num_rows):
                 doc, more = b.column("doc_id")[i].as_py(), b.column("rest")[i].as_py()
-                raw = (b.column("text")[i].as_py() or "").encode()
+                z = b.column("z")[i].as_py()
+                raw = _unzip(z) if z else b""
+                held += len(raw)
                 words = raw.split()
                 if b.column("at")[i].is_valid and len(b.column("at")[i]):
                     at = np.frombuffer(b"".join(b.column("at")[i].as_py()), "<i4")
@@ -274,25 +297,27 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
                     cuts = np.r_[np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]), len(grp)]
                     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                         text = b"\n".join(b" ".join(words[s:e]) for s, e in _runs(np.unique(at[x:y]), window))
-                        rows.append((int(grp[x]), 0, doc, None, None, None, text, None))
+                        rows.append((int(grp[x]), 0, doc, None, None, None, _zip(text), None))
                 if b.column("hit")[i].as_py():
-                    rows.append((int(own[i]), 1, doc, None, None, None, raw, more))
+                    rows.append((int(own[i]), 1, doc, None, None, None, _zip(raw), more))
                 else:
-                    rows.append((int(own[i]), 2, doc, len(words), 0, sha256(b" ".join(words)).hexdigest(), raw if with_text else None, more))
-                if len(rows) >= 512:
+                    rows.append((int(own[i]), 2, doc, len(words), 0, sha256(b" ".join(words)).hexdigest(), _zip(raw) if with_text else None, more))
+                if len(rows) >= 512 or held > 4 << 20:
                     yield table(rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield table(rows)
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16)
-    dealt = docs.join(found, "doc_id", "left").select("doc_id", "text", "rest", "hit", "at", "grp").mapInArrow(deal, schema)
+    small = docs.mapInArrow(shrink, StructType([docs.schema["doc_id"]]).add("z", "binary").add("rest", docs.schema["rest"].dataType, True))
+    dealt = small.join(found, "doc_id", "left").select("doc_id", "z", "rest", "hit", "at", "grp").mapInArrow(deal, schema)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, built = None, [], None
         for b in batches:
             rows = []
             for r in b.to_pylist():
+                r["text"] = None if r["text"] is None else _unzip(r["text"])
                 if r["kind"] == 2:
                     rows.append(tuple(r[c] for c in names))
                     continue
