@@ -231,7 +231,7 @@ def _tiled(members: DataFrame, sets: DataFrame, floor: float, percent: int, hash
     return m.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, tile: int = TILE, margin: float = 0.155) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, tile: int = TILE, margin: float = 0.18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents link if 100 * intersection >= percent * union of their sets of ``k``-word shingles (words
@@ -241,7 +241,7 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     have no component and are not kept. An empty table gives an empty result.
 
     At similarity 0.85 and the default 32 bands of 6 a link has no common band with probability 3e-7, and a
-    true link falls below the estimate's margin (6 standard deviations) with about 1e-8.
+    true link falls below the estimate's margin (almost 6 standard deviations of the two-bit estimate) with about 1e-8.
     """
     floor = percent / 100 - margin
     sk = save(sketch(docs, k, hashes, rows))
