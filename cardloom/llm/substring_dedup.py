@@ -234,10 +234,9 @@ def covered(words: list[bytes], doc: int, ids: dict[bytes, int], automata: list,
     seq = tuple([ids.get(w, 0) for w in words])
     edge = np.zeros(len(words) + 1, np.int32)
     for a in automata:
-        for end, owner in a.iter(seq):
-            if owner < doc:
-                edge[end - window + 1] += 1
-                edge[end + 1] -= 1
+        ends = np.array([end for end, owner in a.iter(seq) if owner < doc], np.int64)  # each end once an automaton
+        edge[ends - window + 1] += 1
+        edge[ends + 1] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
