@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into pre-tokens that are encoded independently. A text is cut at ASCII
 white space here; each stretch is looked up, and the ids of unknown ones come from the tokenizers
-library. Stretches that the plain rules do not cover, and texts with other white space, are given to
-the library as a whole. Ids are kept as little-endian unsigned 32-bit bytes.
+library. A text of ASCII and Latin-1 letters alone is cut into pre-tokens at once; of other texts,
+stretches that these rules do not cover, and texts with other white space, are given to the library as a whole. Ids are kept as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ import pyarrow as pa
 
 from cardloom.llm.common import worker_cache
 
-CACHE = 200_000  # stretches in each of two generations
+CACHE = 300_000  # pre-tokens, or stretches, in each of two generations
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _PLAIN = re.compile("[!-~¡-¬®-ÿ]*")
+_PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PLAIN_LOWER = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+_PLAIN_CASED = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+")
 _STRETCH = re.compile(rb" ?[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]+")
 _LOWER_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CASED_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,6 +80,11 @@ class Encoder:
                 new.update(x for x in cut[s] if not self.tokens.known(x))
             else:
                 self.words[s] = self.whole(t)
+        self._encode_tokens(new)
+        for s, x in cut.items():
+            self.words[s] = b"".join([self.tokens[t] for t in x])
+
+    def _encode_tokens(self, new: set[str]) -> None:
         if new:
             order = sorted(new)
             if self.kind == "word":
@@ -88,28 +96,33 @@ class Encoder:
             else:
                 for x, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
                     self.tokens[x] = np.array(e.ids, "<u4").tobytes()
-        for s, x in cut.items():
-            self.words[s] = b"".join([self.tokens[t] for t in x])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as bytes; null gives none."""
         split = bytes.split if self.kind == "word" else _STRETCH.findall
-        cut: list[list[bytes] | bytes] = []
+        plain = _PLAIN_LOWER.findall if self.kind == "word" else _PLAIN_CASED.findall
+        cut: list[tuple[int, list | bytes]] = []  # how a text is cut: 0 by pre-tokens, 1 by stretches, 2 not at all
         for t in texts:
             if not t:
-                cut.append([])
-            elif not t.isascii() and _WIDE_SPACE.search(t) or _WIDE_SPACE.search(t):
-                cut.append(self.whole(t))
+                cut.append((0, []))
+            elif _PLAIN_TEXT.fullmatch(t):
+                cut.append((0, plain(t.lower() if self.kind == "word" else t)))
+            elif _WIDE_SPACE.search(t):
+                cut.append((2, self.whole(t)))
             else:
-                cut.append(split(t.encode("utf-8", "surrogatepass")))
+                cut.append((1, split(t.encode("utf-8", "surrogatepass"))))
         self.words.turn()
         self.tokens.turn()
-        known = self.words.known
-        missing = {s for x in cut if isinstance(x, list) for s in x if s not in self.words and not known(s)}
+        seen: list[set] = [set(), set()]
+        for how, x in cut:
+            if how < 2:
+                seen[how].update(x)
+        self._encode_tokens({x for x in seen[0] if not self.tokens.known(x)})
+        missing = {x for x in seen[1] if not self.words.known(x)}
         if missing:
             self._learn(missing)
-        get = self.words.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in cut]
+        get = self.tokens.__getitem__, self.words.__getitem__
+        return [x if how == 2 else b"".join(map(get[how], x)) for how, x in cut]
 
 
 def encoder(path: str, kind: str) -> Encoder:
