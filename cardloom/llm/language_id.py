@@ -23,6 +23,8 @@ SEED = 20_240_607
 #: Symbols: 0 the gap between words, 1-26 a-z, 27-58 the letters from U+00DF on, 59-63 all other letters by code point.
 SYMBOLS = 64
 SAMPLE = 20_000
+#: A claimed language is refuted if it carries less than a fifth of a text: this share of what the found language carries, by SURE standard errors.
+CLAIMED_SHARE, SURE = 0.25, 2.0
 
 
 def symbol_table() -> np.ndarray:
@@ -112,32 +114,57 @@ def fit_prototypes(train: DataFrame, dim: int = DIM, seed: int = SEED, sample: i
     return {x: v / (np.sqrt((v * v).sum()) or 1) for x, v in sorted(out.items())}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, seed: int = SEED) -> DataFrame:
+def refuted(c: np.ndarray, found: int, claimed: int, alike: np.ndarray, dim: int = DIM) -> bool:
+    """Whether a text with cosines ``c`` is plainly not in the language claimed; ``alike`` has the prototypes' cosines with each other.
+
+    The text is taken as a * found + b * claimed + noise. A short text has smaller cosines and, by the noise
+    left, a larger standard error of b, so the limit on b / a asks for no length.
+    """
+    rho = float(alike[found, claimed])
+    own = 1 - rho * rho
+    if found == claimed or own < 1e-6:
+        return False
+    a, b = (float(c[found]) - rho * float(c[claimed])) / own, (float(c[claimed]) - rho * float(c[found])) / own
+    error = np.sqrt(max(0.0, 1 - float(c[found]) ** 2) / (dim * own))
+    return b + SURE * error < CLAIMED_SHARE * a
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, seed: int = SEED, claim: str | None = None) -> DataFrame:
     """All columns of ``docs`` but lang_pred and score, then lang_pred and score (the cosine, 0 to 1).
 
+    With ``claim``, a column that names a language, there is a column refuted too: see ``refuted``. A claim that is null or of
+    which nothing was learned is not refuted, nor is any of a text that gets ``und``.
+
     ``und`` and 0 for a text that is null or has no letters, and for every text if nothing was learned.
     Ties go to the language that sorts first. Whole texts are read; rows are independent, so repeated
     rows give repeated results and an empty table an empty one.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", *["refuted"] * bool(claim))
     langs = list(prototypes)
     proto = np.array([prototypes[x] for x in langs], np.float32).reshape(len(langs), dim)
+    place, alike = {x: i for i, x in enumerate(langs)}, proto @ proto.T
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            best, value = [], []
-            for text in b.column("text"):
+            best, value, wrong = [], [], []
+            claims = b.column(claim).to_pylist() if claim else [None] * b.num_rows
+            for text, said in zip(b.column("text"), claims, strict=True):
                 v = document_vector(text.as_py(), dim, seed) if langs else None
                 if v is None:
                     best.append("und")
                     value.append(0.0)
+                    wrong.append(False)
                 else:
                     c = proto @ v
                     i = int(c.argmax())
                     best.append(langs[i])
                     value.append(float(min(1.0, max(0.0, c[i]))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(value, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                    wrong.append(said in place and refuted(c, i, place[said], alike, dim))
+            more = {"lang_pred": pa.array(best, pa.string()), "score": pa.array(value, pa.float64())} | ({"refuted": pa.array(wrong, pa.bool_())} if claim else {})
+            yield pa.RecordBatch.from_arrays([*b.columns, *more.values()], [*b.schema.names, *more])
 
     schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
+    if claim:
+        schema = schema.add("refuted", "boolean")
     return docs.mapInArrow(score, schema)

@@ -25,12 +25,14 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def check_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hyperdimensional language ID: texts without letters go, and those that are plainly in another language than they claim.
 
-    Plainly: the cosine with the language found is at least 0.95, which texts of two languages and short ones rarely
-    reach; such texts stay. A null language claims nothing.
+    Plainly: by what the found and the claimed language explain of the text, the claimed one carries less than a fifth of it; the
+    noise of short texts counts for the claim, so texts of two languages and those that tell little stay. A null language
+    claims nothing; one without a prototype is wrong if the cosine with another is at least 0.95.
     """
     prototypes = language_id.fit_prototypes(docs.select("doc_id", "text", "lang"))
-    found = language_id.identify(docs, prototypes)
-    wrong = F.coalesce(F.col("lang_pred") != F.col("lang"), F.lit(False)) & (F.col("score") >= 0.95)
+    found = language_id.identify(docs, prototypes, claim="lang")
+    unlearned = F.coalesce(~F.col("lang").isin(*prototypes), F.lit(False)) & (F.col("score") >= 0.95)
+    wrong = F.col("refuted") | unlearned
     return found.where((F.col("lang_pred") != "und") & ~wrong).select(*docs.columns)
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -30,6 +32,36 @@ def test_filters_keep_rows_as_they_are(stages):
         assert after.count() > 0.5 * before.count()
 
 
+def test_language_stage_rejects_wrong_claims_of_any_length(spark):
+    """Planted: texts cut to 200-2,000 characters under a wrong language, and half-and-half ones under either."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    whole = {x: [] for x in ("de", "en", "es", "fr")}
+    for r in docs.orderBy("doc_id").collect():
+        if r["lang"] in whole and len(set((r["text"] or "").split())) > 400:
+            whole[r["lang"]].append(r["text"])
+
+    def cut(lang, n):
+        t = rng.choice([t for t in whole[lang] if len(t) > n])
+        at = rng.randrange(len(t) - n)
+        return t[at : at + n]
+
+    wrong, right, mixed = [], [], []
+    for i in range(120):
+        a, b = rng.sample(sorted(whole), 2)
+        n = (200, 300, 500, 1000, 2000)[i % 5]
+        wrong.append((cut(a, n), b))
+        right.append((cut(a, n), a))
+        mixed.append((cut(a, n // 2) + " " + cut(b, n // 2), (a, b)[i % 2]))
+    rows = [(1_000_000 + i, t, lang, "planted", len(t)) for i, (t, lang) in enumerate([*wrong, *right, *mixed, (wrong[0][0], None)])]
+    out = corpus_pipeline.check_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), "")
+    kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+    n_kept = [sum(1_000_000 + 120 * k + i in kept for i in range(120)) for k in range(3)]
+    assert n_kept[0] <= 6 and n_kept[1] == 120 and n_kept[2] >= 119
+    assert 1_000_360 in kept  # claims nothing
+    assert len([i for i in kept if i < 1_000_000]) >= 0.99 * docs.count()
+
+
 def test_near_copies(stages):
     sets = {i: shingle_set(t) for i, t in plain(stages[2]).items()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
