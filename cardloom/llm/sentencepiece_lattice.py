@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +30,7 @@ from cardloom.llm.encoders import _Generations
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-LONG = 256  # characters; the merges of longer units are done with a heap instead of a fold
+LONG = 256  # characters; longer units are cut in Python instead of by a fold: merges with a heap, best paths by dynamic programming
 
 
 def units_of(text: str | None) -> list[str]:
@@ -111,9 +111,8 @@ def encode_units(units: DataFrame, table: DataFrame, model_type: str = "bpe") ->
         return F.when(F.size(hit) > 0, F.array(F.element_at(hit, 1)["id"])).otherwise(one if byte_ids else F.array(F.lit(unk)))
 
     done = cut.select("unit", F.flatten(F.transform(span, ids)).alias("ids"))
-    if model_type == "unigram":
-        return done
-    return done.unionByName(_heap_units(units.where(F.length("unit") > LONG), table, byte_ids, unk))
+    by = viterbi_path if model_type == "unigram" else heap_merge
+    return done.unionByName(_long_units(units.where(F.length("unit") > LONG), table, byte_ids, unk, by))
 
 
 def heap_merge(unit: str, cost: dict[str, tuple[float, int]]) -> list[str]:
@@ -140,7 +139,24 @@ def heap_merge(unit: str, cost: dict[str, tuple[float, int]]) -> list[str]:
     return [p for p in part if p]
 
 
-def _heap_units(units: DataFrame, table: DataFrame, byte_ids: dict[int, int], unk: int) -> DataFrame:
+def viterbi_path(unit: str, cost: dict[str, tuple[float, int]], unknown: float = 1e6) -> list[str]:
+    """The path of ``viterbi_fold``, for long units: the same costs, order of additions and ties."""
+    longest = max(map(len, cost), default=1)
+    least, back = [0.0], [0]
+    for j in range(1, len(unit) + 1):
+        options = [(least[j - 1] + unknown, j - 1)]
+        options += [(least[i] + c[0], i) for i in range(max(0, j - longest), j) if (c := cost.get(unit[i:j]))]
+        x, i = min(options)
+        least.append(x)
+        back.append(i)
+    out, j = [], len(unit)
+    while j:
+        out.append(unit[back[j] : j])
+        j = back[j]
+    return out[::-1]
+
+
+def _long_units(units: DataFrame, table: DataFrame, byte_ids: dict[int, int], unk: int, cut: Callable[[str, dict[str, tuple[float, int]]], list[str]]) -> DataFrame:
     cost = {r["piece"]: (-r["score"], r["id"]) for r in table.where("kind = 'piece'").collect()}  # the piece table: bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +164,7 @@ def _heap_units(units: DataFrame, table: DataFrame, byte_ids: dict[int, int], un
             out = []
             for u in b.column("unit").to_pylist():
                 ids: list[int] = []
-                for p in heap_merge(u, cost):
+                for p in cut(u, cost):
                     ids += [cost[p][1]] if p in cost else [byte_ids.get(x, unk) for x in p.encode()] if byte_ids else [unk]
                 out.append(ids)
             yield pa.record_batch([b.column("unit"), pa.array(out, pa.list_(pa.int32()))], ["unit", "ids"])

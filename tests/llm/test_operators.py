@@ -301,6 +301,34 @@ def test_viterbi_fold(spark):
         assert total == pytest.approx(best(u)), u
 
 
+def test_long_unigram_units(spark, monkeypatch):
+    score = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.1, "aba": -4.4, "bb": -5.5, "é": -1.5, "éa": -3.5}
+    table = spark.createDataFrame([(i + 1, p, s, "piece") for i, (p, s) in enumerate(score.items())] + [(0, "<unk>", 0.0, "control")], "id int, piece string, score double, kind string")
+    rng = np.random.default_rng(2)
+    units = ["".join(rng.choice(list("abcé"), n)) for n in (256, 257, 300, 5000)]
+    df = spark.createDataFrame([(u,) for u in units], "unit string")
+    got = {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(df, table, "unigram").collect()}
+    assert set(got) == set(units)
+    names = {i + 1: p for i, p in enumerate(score)}
+    for u, x in got.items():
+        best = [0.0]
+        for j in range(1, len(u) + 1):
+            best.append(max([best[j - 1] - 1e6] + [best[i] + score[u[i:j]] for i in range(max(0, j - 3), j) if u[i:j] in score]))
+        assert sum(score[names[i]] if i else -1e6 for i in x) == pytest.approx(best[-1], rel=1e-12)
+        assert "".join(names.get(i, "c") for i in x) == u
+    # the same ids as the fold, ties included
+    short = sorted({"".join(rng.choice(list("abcé"), rng.integers(2, 12))) for _ in range(80)})
+    df = spark.createDataFrame([(u,) for u in short], "unit string")
+    folded = {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(df, table, "unigram").collect()}
+    monkeypatch.setattr(sentencepiece_lattice, "LONG", 1)
+    assert {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(df, table, "unigram").collect()} == folded
+    # whole texts; the given model's pieces and scores serve as a unigram model here
+    text = spark.createDataFrame([(1, "a " + "ab" * 2000 + " b")], "doc_id long, text string")
+    monkeypatch.setattr(sentencepiece_lattice, "LONG", 256)
+    row = sentencepiece_lattice.encode(text, tokenizer_path("piece_bpe_32k.model"), with_ids=True, model_type="unigram").first()
+    assert row["n_tokens"] == len(row["ids"]) > 100
+
+
 # ---- 8 ----
 def test_exact_top_k(spark):
     rng = np.random.default_rng(4)
