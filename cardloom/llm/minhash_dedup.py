@@ -248,8 +248,11 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     full = sk.where("n_shingles > 0 and doc_id is not null")
     # one class for each set: its first document goes on
     classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = full.join(classes.where("n > 1"), ["f1", "f2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(copies.select(F.col("a").alias("doc_id"), F.col("b").alias("rep")).distinct(), "doc_id", "left_anti").select("doc_id", "bands", "sig")
+    name = ["f1", "f2", "n_shingles"]
+    followers = full.select("doc_id", *name).join(classes.where("n > 1"), name).where("doc_id <> rep")
+    copies = followers.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # a set leaves, not a doc_id: that may have other texts
+    reps = full.join(followers.select("doc_id", *name).distinct(), ["doc_id", *name], "left_anti").select("doc_id", "bands", "sig")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")

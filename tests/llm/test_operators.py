@@ -213,6 +213,13 @@ def test_minhash(docs, no_docs, percent):
         assert minhash_dedup.minhash_near_dedup(no_docs).collect() == []
 
 
+def test_minhash_two_texts_of_a_doc_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, x), (10, x), (10, y), (20, y), (5, y + " more"), (30, "alone of its kind and far away")]
+    got = minhash_dedup.minhash_near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 56, 1, True), (5, 57, 1, False), (10, 56, 1, False), (10, 56, 1, False), (20, 56, 1, False), (30, 3, 30, True)]
+
+
 def test_estimate():
     rng = np.random.default_rng(3)
     core = rng.integers(0, 2**63, 850, np.uint64)
