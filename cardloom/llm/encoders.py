@@ -3,7 +3,8 @@
 Both vocabularies cut a text into pre-tokens that are encoded independently. A text is cut at ASCII
 white space here; each stretch is looked up, and the ids of unknown ones come from the tokenizers
 library. A text of ASCII and Latin-1 letters alone is cut into pre-tokens at once; of other texts,
-stretches that these rules do not cover, and texts with other white space, are given to the library as a whole. Ids are kept as little-endian unsigned 32-bit bytes.
+stretches that these rules do not cover, and texts with other white space or with an added token such
+as <|endoftext|>, are given to the library as a whole. Ids are kept as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         self.words, self.tokens = _Generations(CACHE), _Generations(CACHE)
         self.pattern = regex.compile(_LOWER_WORD if kind == "word" else _CASED_WORD)
@@ -105,6 +106,8 @@ class Encoder:
         for t in texts:
             if not t:
                 cut.append((0, []))
+            elif any(x in t for x in self.added):
+                cut.append((2, self.whole(t)))
             elif _PLAIN_TEXT.fullmatch(t):
                 cut.append((0, plain(t.lower() if self.kind == "word" else t)))
             elif _WIDE_SPACE.search(t):

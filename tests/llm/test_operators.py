@@ -100,6 +100,17 @@ def test_encoders(file, kind, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
 
 
+@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens_are_those_of_the_library(file, kind):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path(file))
+    texts = ["a <|endoftext|> b", "a  <|startoftext|>\n\nB", "<|endoftext|><|endoftext|>x", "é日<|endoftext|>\u00a0 y", "a <|ENDOFTEXT|> b", "<| endoftext |> <|endoftext|", "a b"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(tokenizer_path(file), kind).encode(texts + texts)]
+    assert got == 2 * [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert library.token_to_id("<|endoftext|>") in got[0]
+
+
 ENCODERS: dict = {}
 
 
