@@ -240,8 +240,9 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     a doc_id count as one document if their texts agree; if not, each text links for the doc_id. Rows without doc_id
     have no component and are not kept. An empty table gives an empty result.
 
-    At similarity 0.85 and the default 32 bands of 6 a link has no common band with probability 3e-7, and a
-    true link falls below the estimate's margin (almost 6 standard deviations of the two-bit estimate) with about 1e-8.
+    Nothing catches a link without a common band: with the default 32 bands of 6 that has probability 3e-7 at similarity 0.85
+    but 6e-5 at 0.80; 50 bands (300 hashes) have 2.5e-7 at 0.80. A true link at 0.85 falls below the estimate's margin (almost 6
+    standard deviations of the two-bit estimate) with about 1e-8; more hashes make that rarer.
     """
     floor = percent / 100 - margin
     sk = save(sketch(docs, k, hashes, rows))

@@ -15,6 +15,7 @@ from cardloom.llm.common import read_table, save
 from cardloom.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
+NEAR_HASHES = 300  # 50 bands of 6: a link at similarity 0.8 shares none with probability 2.5e-7
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows repeated under a doc_id are one document; rows without doc_id are groups of their own.
     """
-    kept = minhash_dedup.minhash_near_dedup(docs.select("doc_id", "text"), 5, 80).where("kept").select("doc_id")
+    kept = minhash_dedup.minhash_near_dedup(docs.select("doc_id", "text"), 5, 80, NEAR_HASHES).where("kept").select("doc_id")
     first = docs.join(save(kept.distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.select(*docs.columns).unionAll(docs.where("doc_id is null"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from cardloom.llm import queries
+from cardloom.llm import minhash_dedup, queries
 from cardloom.llm.common import save
 from tests.llm.test_operators import brute_repeats, closure, plain, shingle_set
 
@@ -62,6 +62,17 @@ def test_language_stage_rejects_wrong_claims_of_any_length(spark):
     assert len([i for i in kept if i < 1_000_000]) >= 0.99 * docs.count()
 
 
+def test_near_copies_share_a_band(spark, stages, monkeypatch):
+    """The stage's bands, counted as it makes them, leave out a link at its threshold less than once in a million."""
+    seen = []
+    real = minhash_dedup.sketch
+    monkeypatch.setattr(minhash_dedup, "sketch", lambda docs, k, hashes, rows: seen.append((hashes, rows)) or real(docs, k, hashes, rows))
+    corpus_pipeline.drop_near_copies(spark, stages[2].limit(20), "")
+    hashes, rows = seen[0]
+    assert {len(r["bands"]) for r in real(stages[2].limit(20), 5, hashes, rows).where("n_shingles > 0").collect()} == {hashes // rows}
+    assert (1 - 0.8**rows) ** (hashes // rows) < 1e-6
+
+
 def test_near_copies(stages):
     sets = {i: shingle_set(t) for i, t in plain(stages[2]).items()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
