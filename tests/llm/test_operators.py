@@ -287,14 +287,13 @@ def test_sentencepiece(spark, docs, no_docs):
     small = docs.where("length(text) < 700 or text is null")
     extra = spark.createDataFrame([(-1, "  a  b "), (-2, "日本語x😀 \n\t é"), (-3, "ab" * 400), (-4, "▁x ▁"), (-5, " "), (-6, "x" * 300)], "doc_id long, text string")
     df = small.select("doc_id", "text").distinct().unionAll(extra)
-    table = sentencepiece_lattice.piece_table(spark, model)
     enc = common.save(sentencepiece_lattice.encode(df, model, with_ids=True))
     texts = plain(df)
     got = {r["doc_id"]: r for r in enc.collect()}
     for i, t in texts.items():
         ids = sp.encode(t or "")
         assert (got[i]["ids"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (ids, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-    back = {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decode(enc, table).collect()}
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decode(enc, model).collect()}
     assert back == {i: sp.decode(r["ids"]) for i, r in got.items()}
     assert sentencepiece_lattice.encode(no_docs, model).collect() == []
 
@@ -323,7 +322,7 @@ def test_long_unigram_units(spark, monkeypatch):
     score = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.1, "aba": -4.4, "bb": -5.5, "é": -1.5, "éa": -3.5}
     table = spark.createDataFrame([(i + 1, p, s, "piece") for i, (p, s) in enumerate(score.items())] + [(0, "<unk>", 0.0, "control")], "id int, piece string, score double, kind string")
     rng = np.random.default_rng(2)
-    units = ["".join(rng.choice(list("abcé"), n)) for n in (256, 257, 300, 5000)]
+    units = ["".join(rng.choice(list("abcé"), n)) for n in (61, 62, 63, 300, 5000)]
     df = spark.createDataFrame([(u,) for u in units], "unit string")
     got = {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(df, table, "unigram").collect()}
     assert set(got) == set(units)
@@ -342,7 +341,7 @@ def test_long_unigram_units(spark, monkeypatch):
     assert {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(df, table, "unigram").collect()} == folded
     # whole texts; the given model's pieces and scores serve as a unigram model here
     text = spark.createDataFrame([(1, "a " + "ab" * 2000 + " b")], "doc_id long, text string")
-    monkeypatch.setattr(sentencepiece_lattice, "LONG", 256)
+    monkeypatch.setattr(sentencepiece_lattice, "LONG", 62)
     row = sentencepiece_lattice.encode(text, tokenizer_path("piece_bpe_32k.model"), with_ids=True, model_type="unigram").first()
     assert row["n_tokens"] == len(row["ids"]) > 100
 
@@ -368,7 +367,8 @@ def test_exact_top_k(spark):
 
 def test_products_stay_exact():
     big = np.array([[2**40, -(2**41)]])
-    assert kdtree_search.product(big, big)[0, 0] == 2**80 + 2**82
+    assert kdtree_search.product(big, big)[0, 0] == 2**63 - 1 and kdtree_search.product(big, -big)[0, 0] == -(2**63)
+    assert kdtree_search.product(big, np.array([[2**20 + 1, -3]]))[0, 0] == 2**40 * (2**20 + 1) + 3 * 2**41
 
 
 # ---- 9 ----
