@@ -8,15 +8,15 @@ FILE is a path that Spark can read; standard input without one or with -.
 from __future__ import annotations
 
 import argparse
-import os
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
-from cardloom.config import CONVERT, DEDUPE, NORMALIZE, DedupeConfig
+from cardloom.config import CONVERT, DEDUPE, NORMALIZE, DedupeConfig, NameConfig
 from cardloom.operators.normalize import normalize_records
-from cardloom.plans.pipelines import convert, deduplicate
+from cardloom.plans.pipelines import convert, deduplicate, normalize_and_convert
+from cardloom.settings import read_env
+from cardloom.storage import spool
 from cardloom.sources import sinks
 from cardloom.sources.csv import read_contacts_csv
 from cardloom.sources.vcf import read_vcf
@@ -40,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("normalize", help="normalize the contacts of a CSV file")
     n.add_argument("file", nargs="?")
     n.add_argument("--json", "-j", action="store_true")
+    n.add_argument("--vcf", action="store_true", help="vCard output of fully normalized contacts")
+    n.add_argument("--dedupe", "-d", action="store_true", help="with --vcf: merge duplicates")
+    n.add_argument("--env", help="with --vcf: settings of a name service")
     v = sub.add_parser("vcf-to-csv", help="vCard to CSV")
     v.add_argument("file", nargs="?")
     v.add_argument("--separator", default=sinks.SEPARATOR)
@@ -49,12 +52,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    path, spooled = a.file, None
-    if not path or path == "-":
-        spooled = tempfile.NamedTemporaryFile("w", suffix=".txt", delete=False, encoding="utf-8", newline="")
-        spooled.write(sys.stdin.read())
-        spooled.close()
-        path = spooled.name
+    path = a.file
+    if not path or path == "-":  # executors read it, so it goes to the shared folder
+        path = spool(spark, iter(lambda: sys.stdin.buffer.read(1 << 20), b""))
     out = sinks.open_out(a.out, sys.stdout)
     try:
         run(a, spark, path, out)
@@ -64,8 +64,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     finally:
         if out is not sys.stdout:
             out.close()
-        if spooled:
-            os.unlink(spooled.name)
     return 0
 
 
@@ -83,6 +81,9 @@ def run(a: argparse.Namespace, spark: SparkSession, path: str, out) -> None:
             print(f"\nConversion Summary:\n  Input contacts:      {s['input_contacts']}\n  Output vCards:       {s['output_vcards']}\n  Duplicates removed:  {s['duplicates_removed']}\n  Parse errors:        {s['parse_errors']}", file=err)
             for e in done.errors.orderBy("row").toLocalIterator():
                 print(f"    row {e['row']}: {e['message']}", file=err)
+    elif a.command == "normalize" and a.vcf:
+        llm = read_env(a.env).client() if a.env else None
+        sinks.stream_vcf(normalize_and_convert(parsed, NameConfig(use_llm=llm is not None, llm=llm), dedupe=a.dedupe).contacts, out)
     elif a.command == "normalize":
         records = normalize_records(parsed.contacts)
         if a.json:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _stars(e: DataFrame) -> bool:
     """No node is both a leaf and a centre."""
     return e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
+def spanning_links(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` nodes those that links (i, j) join to a smaller one, and the smallest node of the component of each."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]

@@ -10,13 +10,6 @@ from cardloom.functions.phone import phone_digits
 from cardloom.schema import COLUMNS, MERGED
 
 
-def _first_by_key(values: Column, key) -> Column:
-    """Values with a new nonempty key, the first spelling of each."""
-    pairs = F.filter(F.transform(values, lambda v: F.struct(key(v).alias("k"), v.alias("v"))), lambda x: x["k"] != "")
-    seen = F.transform(pairs, lambda x: x["k"])
-    return F.transform(F.filter(pairs, lambda x, i: F.array_position(seen, x["k"]) == i + 1), lambda x: x["v"])
-
-
 def confidence(n: Column) -> Column:
     return F.floor((1 - 1 / (n + 1)) * 100 + 0.5) / 100
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from cardloom.config import DedupeConfig
 from cardloom.functions.email import email_key
 from cardloom.functions.name import name_block, name_key
 from cardloom.functions.phone import phone_digits
-from cardloom.functions.similarity import name_similarity, org_key, org_match
-from cardloom.operators.components import connected_components
+from cardloom.functions.similarity import jaro_winkler_many, name_similarity, org_key, org_match
+from cardloom.operators.components import connected_components, spanning_links
 from cardloom.storage import save
 
 BLOCKS = ("email", "phone", "org", "name")
+PAIRED = 256  # members up to which a bucket's pairs are listed; larger buckets are compared in tiles of about so many
 
 
 def with_keys(contacts: DataFrame) -> DataFrame:
@@ -50,8 +53,11 @@ def needed_blocks(cfg: DedupeConfig) -> tuple[str, ...]:
 
 
 def candidate_pairs(keyed: DataFrame, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
-    """(a, b), a < b: pairs that share a bucket, each once."""
-    k = block_keys(keyed, blocks)
+    """(a, b), a < b: pairs that share a bucket, each once. Their number grows with the square of a bucket's size."""
+    return _pairs(block_keys(keyed, blocks))
+
+
+def _pairs(k: DataFrame) -> DataFrame:
     other = k.withColumnRenamed("idx", "b")
     return k.withColumnRenamed("idx", "a").join(other, ["block", "key"]).where("a < b").select("a", "b").distinct()
 
@@ -90,6 +96,72 @@ def linked_pairs(keyed: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFr
     return score_pairs(candidate_pairs(keyed, blocks), keyed, cfg, only_linked=True)
 
 
+def _org_matches(orgs: list[str]) -> np.ndarray:
+    """``org_match`` of all pairs."""
+    names, code = np.unique(orgs, return_inverse=True)
+    one = lambda x, y: 0.0 if not x or not y else 1.0 if x == y else 0.8 if x in y or y in x else 0.0
+    return np.array([[one(x, y) for y in names] for x in names])[code][:, code]
+
+
+def _shared(lists: list[list[str]]) -> np.ndarray:
+    """Whether two rows have a key in common."""
+    keys: dict[str, int] = {}
+    at = [(i, keys.setdefault(k, len(keys))) for i, x in enumerate(lists) for k in x]
+    m = np.zeros((len(lists), max(1, len(keys))), np.float32)
+    if at:
+        m[tuple(np.array(at).T)] = 1
+    return m @ m.T > 0
+
+
+def _block_links(t: pa.Table, cfg: DedupeConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that reach the threshold: the scores of ``score_pairs``."""
+    name, rows = t.column("name_key").to_pylist(), t.num_rows
+    e, p = (w * _shared(t.column(c).to_pylist()) for w, c in ((cfg.email_weight, "email_keys"), (cfg.phone_weight, "phone_keys")))
+    o = cfg.org_weight * _org_matches(t.column("org_key").to_pylist())
+    able = np.triu(np.ones((rows, rows), bool), 1)
+    if cfg.name_weight >= 0:
+        able &= e + p + o + cfg.name_weight >= cfg.threshold - 1e-9
+    i, j = np.nonzero(able)
+    names, code = np.unique(name, return_inverse=True)
+    raw = [x.encode() for x in names]
+    pairs, which = np.unique(code[i] * len(raw) + code[j], return_inverse=True)
+    sim = np.zeros(len(pairs))
+    for s in range(0, len(pairs), 4096):
+        x, y = np.divmod(pairs[s : s + 4096], max(1, len(raw)))
+        some = np.flatnonzero((x != (code[name.index("")] if "" in name else -1)) & (y != (code[name.index("")] if "" in name else -1)))
+        sim[s + some] = jaro_winkler_many([raw[k] for k in x[some]], [raw[k] for k in y[some]])
+    sim = sim[which]
+    score = e[i, j] + p[i, j] + np.where(sim > cfg.min_name_similarity, sim * cfg.name_weight, 0.0) + o[i, j]
+    ok = score >= cfg.threshold
+    return i[ok], j[ok]
+
+
+def spanning_pairs(classes: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFrame:
+    """(a, b): links that connect what all pairs that share a bucket and reach the threshold connect.
+
+    Pairs of buckets of up to PAIRED members are listed and scored. A larger bucket is dealt by hash to tiles, and each pair of
+    tiles is a block of at most about two tiles that scores its pairs inside; what leaves it is one link a row at most.
+    """
+    blocks = needed_blocks(cfg)
+    if not blocks:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    k = save(block_keys(classes, blocks))
+    size = k.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
+    few = k.join(size.where(F.col("n") <= PAIRED).select("block", "key"), ["block", "key"], "left_semi")
+    listed = score_pairs(_pairs(few), classes, cfg, only_linked=True).select("a", "b")
+    many = k.join(size.where(F.col("n") > PAIRED), ["block", "key"]).withColumn("tiles", F.ceil(F.col("n") / PAIRED))
+    many = many.withColumn("t", F.pmod(F.xxhash64("idx"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    many = many.select("block", "key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "idx").join(classes.select("idx", "email_keys", "phone_keys", "name_key", "org_key"), "idx")
+
+    def run(_: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        ids = t.column("idx").to_numpy()
+        a, b = spanning_links(*_block_links(t, cfg), len(ids))
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    return listed.unionAll(many.groupBy("block", "key", "lo", "hi").applyInArrow(run, "a long, b long"))
+
+
 def clusters(contacts: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFrame:
     """(idx, cluster_id): contacts linked by pairs, over any number of steps, share the smallest idx among them.
 
@@ -100,7 +172,7 @@ def clusters(contacts: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFra
     keyed = with_keys(contacts)
     sig = ["email_keys", "phone_keys", "name_key", "org_key"]
     classes = save(keyed.groupBy(*sig).agg(F.min("idx").alias("idx"), F.count("*").alias("n")))
-    links = save(linked_pairs(classes, cfg).select("a", "b"))
+    links = save(spanning_pairs(classes, cfg))
     comp = save(connected_components(links))
     blocks = needed_blocks(cfg)
     own = F.when(F.size("email_keys") > 0, cfg.email_weight).otherwise(0.0) + F.when(F.size("phone_keys") > 0, cfg.phone_weight).otherwise(0.0)

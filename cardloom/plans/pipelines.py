@@ -36,6 +36,7 @@ class Conversion:
 
 
 def deduplicate(contacts: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DedupeResult:
+    contacts = save(contacts)  # a file is parsed and cleaned once, however many results are asked for
     found = save(clusters(contacts, cfg))
     merged = merge_clusters(contacts, found)
     return DedupeResult(contacts, found, merged, resolved(contacts, found, merged), dedupe_report(found))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.config import DedupeConfig, EmailConfig, NameConfig, PhoneConfig
+from cardloom.config import CONVERT, DEDUPE, NORMALIZE, CsvDialect, DedupeConfig, EmailConfig, NameConfig, PhoneConfig
 from cardloom.functions.email import email_key, normalize_email
-from cardloom.functions.name import name_key, normalize_name
+from cardloom.functions.name import name_key, normalize_name, with_llm_names
 from cardloom.functions.phone import calling_codes, normalize_phone, phone_country, phone_digits
 from cardloom.functions.similarity import jaro_winkler, org_key, org_match
 from cardloom.functions.text import squeeze
@@ -18,11 +18,10 @@ from cardloom.operators import merge, normalize, resolve
 from cardloom.plans.pipelines import convert, deduplicate, normalize_and_convert
 from cardloom.plans.views import CONTACTS_SQL, contacts, raw_contacts
 from cardloom.sources import sinks
-from cardloom.sources.csv import ParseResult
+from cardloom.sources.csv import ParseResult, contacts_from_cells, read_contacts_csv
 from cardloom.sources.headers import resolve as resolve_headers
-from cardloom.sources.csv import contacts_from_cells
-from cardloom.config import CONVERT, DEDUPE, NORMALIZE
-from cardloom.sources.vcf import parse_vcf
+from cardloom.sources.vcf import parse_vcf, read_vcf
+from cardloom.storage import save, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,6 +324,94 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts_from_cells(_cells(spark, sf_dir), resolve_headers(_HEADERS), CONVERT).errors
 
 
+_MAPPING = {"first name": "org", "Notes": "name", "COMPANY": "none"}
+
+
+@query(f"WITH {_V} SELECT row_number() OVER (ORDER BY rid) - 1 AS idx, CASE WHEN name = '' THEN 'x' ELSE split_part(name, ' ', -1) END AS name, coalesce(phone, '') AS phones, coalesce(email, '') AS emails, split_part(name, ' ', 1) AS org FROM (SELECT rid, CASE WHEN rid % 9 = 0 THEN '' ELSE name END AS name, CASE WHEN rid % 9 <> 0 THEN phone END AS phone, CASE WHEN rid % 9 <> 0 THEN email END AS email FROM v)")
+def csv_rows_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of headers wins over detection, and a value that is no field hides a column."""
+    d = CsvDialect(mapping=_MAPPING)
+    return _flat(contacts_from_cells(_cells(spark, sf_dir), resolve_headers(_HEADERS, d.headers, d.mapping), d).contacts)
+
+
+# ---- files in the shared folder ----
+def _flat(c: DataFrame, org: str = "organization") -> DataFrame:
+    return c.select("idx", "name", F.array_join("phones", "; ").alias("phones"), F.array_join("emails", "; ").alias("emails"), F.col(org).alias("org"))
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files of the contacts with quotes, commas and line ends in some names; each ninth has an organization alone, each eleventh nothing."""
+    rid = F.col("rid")
+    name = F.when(rid % 4 == 0, F.concat("name", F.lit(',\n"x"'))).otherwise(F.col("name"))
+    some = lambda c: F.when((rid % 9 == 0) | (rid % 11 == 0), F.lit("")).otherwise(F.coalesce(c, F.lit("")))
+    rows = raw_contacts(spark, sf_dir).select(rid.alias("idx"), some(name).alias("name"), F.array(some(F.col("phone"))).alias("phones"), F.array(some(F.col("email"))).alias("emails"), F.when(rid % 11 == 0, "").otherwise(F.col("org")).alias("organization"))
+    path = shared_dir(spark) + "-csv"
+    sinks.write_csv(rows, path)
+    return path
+
+
+def _files_query(name: str, dialect: CsvDialect, keep: str) -> None:
+    sql = f"""WITH {_V} SELECT row_number() OVER (ORDER BY rid) - 1 AS idx, CASE WHEN rid % 9 = 0 THEN '' WHEN rid % 4 = 0 THEN concat(name, ',', chr(10), '"x"') ELSE name END AS name,
+      CASE WHEN rid % 9 = 0 THEN '' ELSE coalesce(phone, '') END AS phones, CASE WHEN rid % 9 = 0 THEN '' ELSE coalesce(email, '') END AS emails, org FROM v WHERE {keep}"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _flat(read_contacts_csv(spark, _csv_folder(spark, sf_dir), dialect).contacts)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_files_query("csv_files_convert", CONVERT, "rid % 11 <> 0")
+_files_query("csv_files_dedupe", DEDUPE, "rid % 11 <> 0 AND rid % 9 <> 0")
+_files_query("csv_files_normalize", NORMALIZE, "rid % 11 <> 0")
+
+
+@query(_with(_V, _KEYS) + "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, name, CASE WHEN phone IS NULL THEN '' ELSE '+' || pk END AS phones, ek AS emails, org FROM k")
+def vcf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts written to vCard files and read again."""
+    path = shared_dir(spark) + "-vcf"
+    sinks.write_vcf(contacts(spark, sf_dir), path)
+    return _flat(read_vcf(spark, path).contacts)
+
+
+@query(f"WITH {_V} SELECT row_number() OVER (ORDER BY rid) - 1 AS idx, 'Dr. ' || split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) AS name, coalesce(phone, '') AS phones, 'a,b' || rid || '@x.yz' AS emails, org || ', x;y' AS org FROM v")
+def vcf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards without FN, with escaped and folded values."""
+    part = lambda i: F.split("name", " ")[i]
+    tel = F.when(F.col("phone").isNotNull(), F.concat(F.lit("\r\nTEL;TYPE=home:"), "phone")).otherwise("")
+    card = F.concat(F.lit("BEGIN:VCARD\r\nN:"), part(1), F.lit(";"), part(0), F.lit(";;Dr.;"), tel, F.lit("\r\nitem1.EMAIL:no@x.yz\r\nEMAIL:a\\,b\r\n "), F.col("rid").cast("string"), F.lit("@x.yz\r\nORG:"), "org", F.lit("\\, x\\;y\r\nEND:VCARD"))
+    path = shared_dir(spark) + "-vcf"
+    raw_contacts(spark, sf_dir).orderBy("rid").select(card.alias("value")).write.option("lineSep", "\r\n").text(path)
+    return _flat(read_vcf(spark, path).contacts)
+
+
+@query(_with(*_COMP, """one AS (SELECT cluster_id, idx, concat('{"name":"', name, '"', CASE WHEN phone IS NULL THEN '' ELSE ',"phones":["' || phone || '"]' END, CASE WHEN email IS NULL THEN '' ELSE ',"emails":["' || email || '"]' END, ',"org":"', org, '"}') AS j FROM k JOIN comp USING (idx))""") + "SELECT cluster_id, '[' || string_agg(j, ',' ORDER BY idx) || ']' AS members FROM one GROUP BY cluster_id HAVING count(*) > 1")
+def cluster_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = save(contacts(spark, sf_dir))
+    return sinks.cluster_json(c, resolve.clusters(c))
+
+
+def _loud(name: str) -> dict | None:
+    """Stands in for a name service: it knows names that begin with A."""
+    return {"full_name": name.upper(), "first_name": name[:1]} if name.startswith("A") else None
+
+
+@query(f"WITH {_V} SELECT rid, CASE WHEN starts_with(name, 'A') THEN upper(name) ELSE name END AS full_name, CASE WHEN starts_with(name, 'A') THEN 'A' ELSE split_part(name, ' ', 1) END AS first_name FROM v")
+def names_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = with_llm_names(raw_contacts(spark, sf_dir), NameConfig(use_llm=True, llm=_loud), "name", "n")
+    return n.select("rid", "n.full_name", "n.first_name")
+
+
+_ADDRESSES = ["{0}@x.yz", "Ann Lee <{0}@x.yz>", '"a {0}"@x.yz', "{0}@@x.yz", "{0}@", "a{0}", "{0}..b@x.yz", "a b{0}@x.yz", "{0}@x"]
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 9 IN (0, 1, 2, 8) AS BOOLEAN) AS valid FROM customer")
+def strict_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.array(*(F.replace(F.lit(a), F.lit("{0}"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"))) for a in _ADDRESSES))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", normalize_email(F.get(raw, F.col("c_custkey") % 9), EmailConfig(strict=True)).alias("e"))
+    return c.select("c_custkey", "e.valid")
+
+
 # ---- contact data in other tables ----
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 _TEL = "\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}"

@@ -9,7 +9,7 @@ from cardloom.config import EmailConfig, NameConfig, PhoneConfig
 from cardloom.functions.email import email_key, normalize_email, parse_address
 from cardloom.functions.name import normalize_name, with_llm_names
 from cardloom.functions.phone import calling_codes, normalize_phone, phone_country, phone_digits
-from cardloom.functions.similarity import jaro_winkler_bytes, org_match
+from cardloom.functions.similarity import jaro_winkler, jaro_winkler_bytes, jaro_winkler_many, org_match
 from cardloom.functions.text import utrim
 from cardloom.functions.vcard import escape, format_n, structured_name, tel_value, unescape
 from cardloom.sources.headers import detect_field, resolve
@@ -110,3 +110,15 @@ def test_header_overrides():
     assert resolve(["A", "Phone"], mapping={"a": "name", "PHONE": "nothing"}) == {"name": [0], "phone": [], "email": [], "org": []}
     with pytest.raises(ValueError):
         resolve(["a"], mapping={"a": "name", "A": "org"})
+
+
+@given(st.lists(st.tuples(st.text(alphabet="abcé ", max_size=12), st.text(alphabet="abcé ", max_size=12)), max_size=30))
+def test_many_similarities(pairs):
+    a, b = ([p[i].encode() for p in pairs] for i in (0, 1))
+    assert jaro_winkler_many(a, b).tolist() == [jaro_winkler_bytes(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_similarities_of_a_column(spark):
+    df = spark.createDataFrame([("martha", "marhta"), (None, "a"), ("", ""), ("abc", ""), ("martha", "marhta"), ("x", None)], "a string, b string")
+    got = [r[0] for r in df.coalesce(1).select(jaro_winkler("a", "b")).collect()]
+    assert got == [jaro_winkler_bytes(b"martha", b"marhta"), None, 1.0, 0.0, got[0], None]
