@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +31,32 @@ _LOWER_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CASED_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Generations(dict):
-    """A cache of two generations: what was used lately stays, the rest goes."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in both vocabularies: printable ones for themselves, the others in order from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
-    def __init__(self, most: int):
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class Learned(dict):
+    """ids of what was met lately, in two generations; what is in neither comes from ``learn``."""
+
+    def __init__(self, most: int, learn: Callable[[Any], bytes]):
         super().__init__()
-        self.most, self.old = most, {}
-
-    def known(self, key) -> bool:
-        if key in self:
-            return True
-        if key in self.old:
-            self[key] = self.old[key]
-            return True
-        return False
-
-    def turn(self) -> None:
-        if len(self) > self.most:
+        self.most, self.learn, self.old = most, learn, {}
+
+    def __missing__(self, key) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+        self[key] = ids
+        return ids
 
 
 class Encoder:
@@ -58,74 +68,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
-        self.words, self.tokens = _Generations(CACHE), _Generations(CACHE)
+        self.words, self.tokens = Learned(CACHE, self._stretch), Learned(CACHE, self._token)
         self.pattern = regex.compile(_LOWER_WORD if kind == "word" else _CASED_WORD)
-        if kind == "word":
-            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, stretches: set[bytes]) -> None:
-        """Put the ids of new stretches into the cache."""
-        cut: dict[bytes, list[str]] = {}
-        new: set[str] = set()
-        for s in stretches:
-            t = s.decode("utf-8", "surrogatepass")
-            if _PLAIN.fullmatch(t.strip(" \t\n\r\x0b\x0c")):
-                cut[s] = self.pattern.findall(t.lower() if self.kind == "word" else t)
-                new.update(x for x in cut[s] if not self.tokens.known(x))
-            else:
-                self.words[s] = self.whole(t)
-        self._encode_tokens(new)
-        for s, x in cut.items():
-            self.words[s] = b"".join([self.tokens[t] for t in x])
-
-    def _encode_tokens(self, new: set[str]) -> None:
-        if new:
-            order = sorted(new)
-            if self.kind == "word":
-                ids = np.array(self.tokenizer.encode(" ".join(order), add_special_tokens=False).ids, "<u4")
-                ends = np.flatnonzero(self.ends[ids]) + 1
-            if self.kind == "word" and len(ends) == len(order):  # one word end for each pre-token
-                for x, a, b in zip(order, np.r_[0, ends[:-1]], ends, strict=True):
-                    self.tokens[x] = ids[a:b].tobytes()
-            else:
-                for x, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                    self.tokens[x] = np.array(e.ids, "<u4").tobytes()
+    def _stretch(self, stretch: bytes) -> bytes:
+        """ids of what stands between blanks, with a blank or white space before it."""
+        t = stretch.decode("utf-8", "surrogatepass")
+        if _PLAIN.fullmatch(t.strip(" \t\n\r\x0b\x0c")):
+            return b"".join([self.tokens[x] for x in self.pattern.findall(t.lower() if self.kind == "word" else t)])
+        return self.whole(t)
+
+    def _token(self, token: str) -> bytes:
+        """ids of a pre-token of plain letters: the model's merges over its byte letters."""
+        letters = token if token.isascii() else token.encode().decode("latin-1")
+        return array("I", [t.id for t in self.merge(letters.translate(_BYTE_LETTERS))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as bytes; null gives none."""
         split = bytes.split if self.kind == "word" else _STRETCH.findall
         plain = _PLAIN_LOWER.findall if self.kind == "word" else _PLAIN_CASED.findall
-        cut: list[tuple[int, list | bytes]] = []  # how a text is cut: 0 by pre-tokens, 1 by stretches, 2 not at all
+        token, stretch = self.tokens.__getitem__, self.words.__getitem__
+        out = []
         for t in texts:
             if not t:
-                cut.append((0, []))
-            elif any(x in t for x in self.added):
-                cut.append((2, self.whole(t)))
+                out.append(b"")
+            elif any([x in t for x in self.added]):
+                out.append(self.whole(t))
             elif _PLAIN_TEXT.fullmatch(t):
-                cut.append((0, plain(t.lower() if self.kind == "word" else t)))
+                out.append(b"".join(map(token, plain(t.lower() if self.kind == "word" else t))))
             elif _WIDE_SPACE.search(t):
-                cut.append((2, self.whole(t)))
+                out.append(self.whole(t))
             else:
-                cut.append((1, split(t.encode("utf-8", "surrogatepass"))))
-        self.words.turn()
-        self.tokens.turn()
-        seen: list[set] = [set(), set()]
-        for how, x in cut:
-            if how < 2:
-                seen[how].update(x)
-        self._encode_tokens({x for x in seen[0] if not self.tokens.known(x)})
-        missing = {x for x in seen[1] if not self.words.known(x)}
-        if missing:
-            self._learn(missing)
-        get = self.tokens.__getitem__, self.words.__getitem__
-        return [x if how == 2 else b"".join(map(get[how], x)) for how, x in cut]
+                out.append(b"".join(map(stretch, split(t.encode("utf-8", "surrogatepass")))))
+        return out
 
 
 def encoder(path: str, kind: str) -> Encoder:
