@@ -6,8 +6,6 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is how ``by
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +14,27 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom.storage import save, shared_dir  # noqa: F401  the operators take these from here
+
 PIECE_BYTES = 2 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD, _S33 = np.uint64(0x9E3779B97F4A7C15), np.uint64(33)
 
 
+#: Session settings that bound memory whatever the length of texts: bytes of an Arrow batch, rows that a Parquet reader decodes at once.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let functions of this package travel to the executors by value, and bound the bytes of an Arrow batch.
+    """Let functions of this package travel to the executors by value, and set BOUNDS for the session.
 
     The executors then need no copy of the package. Batches of long texts or of packed blobs stay small
     whatever the number of rows.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != "8388608":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+    for k, v in BOUNDS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
 
 
 def worker_cache() -> dict:
@@ -37,24 +42,22 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_cardloom_cache", {})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir; a temporary folder where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        base = sc.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="cardloom-")
-            sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/cardloom-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A group is hot if it has more than this share of all rows: there are at most as many hot groups as its inverse.
+HOT = 1 / 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with the row of their group in ``groups`` (keys, n: its number of rows, ...), n left out.
+
+    Rows of hot groups meet a broadcast of these groups, at most 1 / HOT rows, and are not shuffled; only the others are joined by
+    shuffle. So no task gets more than a hot group's share. ``rows`` and ``groups`` should be saved tables; keys without nulls.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = groups.where(F.col("n") > F.lit(total * HOT))
+    cold = groups.where(F.col("n") <= F.lit(total * HOT)).drop("n")
+    one = rows.join(F.broadcast(hot.drop("n")), keys)
+    other = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    return one.unionByName(other)
 
 
 def crc_mod(col: str, n: int) -> Column:

@@ -1,10 +1,10 @@
 """Embedding near-dedup: PCA-ordered tiled comparison.
 
-Vectors are turned into the principal axes of the whole table, so that the first dimensions hold most
-of each product. Within a label, vectors sorted by the first axis are cut into tiles. Two tiles are
-compared only if the gap of their first coordinates allows the threshold; within a pair of tiles the
-product grows by blocks of dimensions, and pairs leave as soon as the sum so far plus the product of
-the suffix norms cannot reach the threshold.
+Equal vectors of a label are one class. Classes are turned into the principal axes of the whole table, so that the first dimensions
+hold most of each product. Within a label they are ordered by the cells of a tree of median splits over the axes along which they
+vary most, and cut into tiles with bounding boxes on these axes. Two tiles are compared only if their boxes are near enough for the
+threshold; within a pair of tiles the product grows by blocks of dimensions, and pairs leave as soon as the sum so far plus the
+product of the suffix norms cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import save, ship
-from cardloom.llm.components import connected_components
+from cardloom.llm.common import join_groups, save, ship
+from cardloom.llm.kdtree_search import cell_of, split_space
+from cardloom.operators.components import connected_components, spanning_links
 
 TILE = 1024
 SLACK = 1e-9  # rounding of the turned coordinates; what passes is compared again as given
+BOX, KEYS = 8, 3  # axes of the tiles' boxes, and those of them by which tiles are dealt to buckets
+SAMPLE = 65_536  # vectors that the order of the tiles is fitted on; it bears on speed alone
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -28,30 +32,36 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def clean_vectors(df: DataFrame, group: str | None) -> DataFrame:
-    """vec_id, group, v (array<double>) of the rows that can link; one row for each vec_id."""
+    """vec_id, grp (string), v (array<double>) of the rows that can link; one row for each vec_id."""
     v = F.col("embedding").cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    cols = [F.col("vec_id").cast("long").alias("vec_id"), *([F.col(group).alias("grp")] if group else [F.lit(0).alias("grp")]), v.alias("v")]
-    rows = df.select(*cols).where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("grp", "v")).alias("s"))
+    grp = F.col(group).cast("string") if group else F.lit("")
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), grp.alias("grp"), v.alias("v")).where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("grp", "v")).alias("s"))
     return rows.select("vec_id", "s.grp", "s.v").where(F.col("v").isNotNull() & (F.size("v") > 0)).where(ok)
 
 
-def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Axes (columns) by falling variance of the unit vectors; each partition sends one dim x dim sum."""
+def principal_axes(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axes (columns) by falling second moment of the unit vectors, and the variance along each; each partition sends one dim x dim sum."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros((dim, dim))
+        c, m, n = np.zeros((dim, dim)), np.zeros(dim), 0
         for b in batches:
             if b.num_rows:
                 x = _unit(_matrix(b.column("v")))
-                c += x.T @ x
+                c, m, n = c + x.T @ x, m + x.sum(0), n + len(x)
         i, j = np.triu_indices(dim)
-        yield pa.record_batch({"k": pa.array(i * dim + j), "s": pa.array(c[i, j])})
+        yield pa.record_batch({"k": pa.array(np.r_[i * dim + j, dim * dim + np.arange(dim + 1)]), "s": pa.array(np.r_[c[i, j], m, n])})
 
-    c = np.zeros((dim, dim))
-    for k, s in vectors.select("v").mapInArrow(sums, "k long, s double").groupBy("k").agg(F.sum("s")).collect():  # dim * dim / 2 rows
-        c[k // dim, k % dim] = c[k % dim, k // dim] = s
-    return np.linalg.eigh(c)[1][:, ::-1]
+    c, mean = np.zeros((dim, dim)), np.zeros(dim + 1)
+    for k, s in vectors.select("v").mapInArrow(sums, "k long, s double").groupBy("k").agg(F.sum("s")).collect():  # about dim * dim / 2 rows
+        if k >= dim * dim:
+            mean[k - dim * dim] = s
+        else:
+            c[k // dim, k % dim] = c[k % dim, k // dim] = s
+    n = max(1.0, mean[dim])
+    moment, axes = np.linalg.eigh(c / n)
+    moment, axes = moment[::-1], axes[:, ::-1]
+    return axes, moment - (mean[:dim] / n @ axes) ** 2
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,165 +71,177 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def compare_tiles(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs with cosine >= threshold; a, b turned unit vectors, ua, ub unit vectors as given."""
+def compare_tiles(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, same: bool, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs with cosine >= threshold; a, b turned unit vectors, ua, ub unit vectors as given. Some rows of a at a time."""
     d = a.shape[1]
-    steps = [min(d, s) for s in (8, 16, 32, d)]
-    done, live_i, live_j, part = 0, None, None, None
-    for to in dict.fromkeys(steps):
-        sa, sb = np.sqrt((a[:, to:] ** 2).sum(1)), np.sqrt((b[:, to:] ** 2).sum(1))
-        if live_i is None:
-            p = a[:, :to] @ b[:, :to].T
-            ok = p + np.outer(sa, sb) >= threshold - SLACK
-            if same:
-                ok &= np.tri(len(a), len(b), -1, dtype=bool).T
-            live_i, live_j = np.nonzero(ok)
-            part = p[live_i, live_j]
-        else:
-            part = part + np.einsum("ij,ij->i", a[live_i, done:to], b[live_j, done:to])
-            ok = part + sa[live_i] * sb[live_j] >= threshold - SLACK
-            live_i, live_j, part = live_i[ok], live_j[ok], part[ok]
-        done = to
-        if len(live_i) > 200_000:  # many links: whole blocks are cheaper than gathers
-            ok = np.zeros((len(a), len(b)), bool)
-            ok[live_i, live_j] = True
-            ok &= ua @ ub.T >= threshold - SLACK
-            live_i, live_j = np.nonzero(ok)
-            break
-    keep = np.zeros(len(live_i), bool)
-    for s in range(0, len(live_i), 100_000):
-        i, j = live_i[s : s + 100_000], live_j[s : s + 100_000]
-        keep[s : s + 100_000] = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
-    return live_i[keep], live_j[keep]
-
-
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) that connect what the given edges connect."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
-
-
-def embedding_links(df: DataFrame, threshold: float = 0.98, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, n_links) of vectors with links, and edges (a, b) that span the components of all links."""
-    spark = df.sparkSession
-    ship(spark)
-    rows = save(clean_vectors(df, "label").where("grp is not null").where(F.exists("v", lambda x: x != 0)))
-    dims = [r[0] for r in rows.groupBy(F.size("v").alias("d")).count().collect()]  # the lengths of vectors that occur
+    steps = list(dict.fromkeys(min(d, s) for s in (8, 16, 32, d)))
+    norms = [(np.sqrt((a[:, to:] ** 2).sum(1)), np.sqrt((b[:, to:] ** 2).sum(1))) for to in steps]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for s in range(0, len(a), rows):
+        first = a[s : s + rows, : steps[0]] @ b[:, : steps[0]].T
+        ok = first + np.outer(norms[0][0][s : s + rows], norms[0][1]) >= threshold - SLACK
+        if same:
+            ok &= np.arange(s, s + len(ok))[:, None] < np.arange(len(b))
+        i, j = np.nonzero(ok)
+        part = first[i, j]
+        i += s
+        for done, to, (sa, sb) in zip(steps, steps[1:], norms[1:], strict=False):
+            part = part + np.einsum("ij,ij->i", a[i, done:to], b[j, done:to])
+            ok = part + sa[i] * sb[j] >= threshold - SLACK
+            i, j, part = i[ok], j[ok], part[ok]
+        ok = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
+        out.append((i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def embedding_links(classes: DataFrame, threshold: float = 0.98, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(rep, links: vectors in the classes that a class links with), and edges (a, b) that span the components of all links.
+
+    classes: rep (smallest vec_id), n (its vectors), grp and v, distinct as a pair.
+    """
+    dims = [r[0] for r in classes.groupBy(F.size("v").alias("d")).count().collect()]  # the lengths of vectors that occur
     found = None
     for dim in dims:
-        one = _links_of(rows.where(F.size("v") == dim), dim, threshold, tile)
+        one = _links_of(classes.where(F.size("v") == dim), dim, threshold, tile)
         found = one if found is None else found.unionAll(one)
     if found is None:
-        found = spark.createDataFrame([], "kind int, a long, b long")
+        found = classes.sparkSession.createDataFrame([], "kind int, a long, b long")
     found = save(found)
-    return found.where("kind = 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("b").alias("n_links")), found.where("kind = 1").select("a", "b")
+    return found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links")), found.where("kind = 1").select("a", "b")
 
 
-def _links_of(rows: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
-    spark = rows.sparkSession
-    axes = principal_axes(rows, dim)
+def _links_of(classes: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
+    spark = classes.sparkSession
+    axes, variance = principal_axes(classes, dim)
+    box = np.argsort(-variance, kind="stable")[:BOX]  # a direction in which all vectors are alike tells none apart
+    total = classes.count()
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 20)) + 1
+    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share).orderBy("rep").limit(2 * SAMPLE).select("v").toArrow()  # bounded by SAMPLE
+    known = _unit(_matrix(sample.column("v").combine_chunks())) @ axes[:, box] if sample.num_rows else np.empty((0, len(box)))
+    depth = max(0, min(int(np.ceil(np.log2(max(1, total / tile)))), int(np.log2(max(1, len(known) / 8)))))
+    splits = split_space(known, depth)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 u = _unit(_matrix(b.column("v")))
-                yield pa.record_batch([b.column("vec_id"), b.column("grp"), pa.array((u @ axes[:, 0])), pa.array([r.tobytes() for r in u.astype("<f8")], pa.binary())], ["vec_id", "grp", "x", "u"])
+                x = u @ axes[:, box]
+                yield pa.record_batch([b.column("rep"), b.column("n"), b.column("grp"), pa.array(cell_of(x, *splits)), pa.array(x[:, 0]), pa.array([r.tobytes() for r in u.astype("<f8")], pa.binary())], ["rep", "n", "grp", "cell", "x", "u"])
 
-    turned = rows.mapInArrow(turn, "vec_id long, grp int, x double, u binary")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = turned.repartitionByRange(n, "grp", "x", "vec_id").sortWithinPartitions("grp", "x", "vec_id")
+    turned = classes.select("rep", "n", "grp", "v").mapInArrow(turn, "rep long, n long, grp string, cell long, x double, u binary")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["grp", "cell", "x", "rep"]
+    ordered = turned.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            x = t.column("x").to_numpy()
-            ids = t.column("vec_id").to_numpy()
-            return pa.record_batch({"grp": pa.array([t.column("grp")[0].as_py()], pa.int32()), "tile": pa.array([int(ids.min())], pa.int64()), "lo": [float(x.min())], "hi": [float(x.max())], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "us": pa.array([b"".join(t.column("u").to_pylist())], pa.binary())})
+            ids, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
+            us = b"".join(t.column("u").to_pylist())
+            x = np.frombuffer(us, "<f8").reshape(-1, dim) @ axes[:, box]
+            lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (x.min(0), x.max(0))]
+            blobs = [pa.array([v], pa.binary()) for v in (ids.astype("<i8").tobytes(), n.astype("<i8").tobytes(), us)]
+            return pa.RecordBatch.from_arrays([pa.array([t.column("grp")[0].as_py()], pa.string()), pa.array([int(ids.min())], pa.int64()), *lists, *blobs], ["grp", "tile", "lo", "hi", "ids", "ns", "us"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(pa.table(b))
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) < tile:
+                continue
             t = pa.concat_tables(held).combine_chunks()
-            g = t.column("grp").to_numpy()
+            ends = np.r_[np.flatnonzero(_changes(t.column("grp"))) + 1, t.num_rows]
             at = 0
-            while at < len(g):
-                end = at + int(np.searchsorted(g[at:], g[at], "right"))
-                if end - at >= tile:
-                    yield out(t.slice(at, tile))
-                    at += tile
-                elif end < len(g):
-                    yield out(t.slice(at, end - at))
-                    at = end
-                else:
+            while at < t.num_rows:
+                end = int(ends[np.searchsorted(ends, at, "right")])
+                if end == t.num_rows and end - at < tile:
                     break
-            held = [t.slice(at)] if at < len(g) else []
-        if held and held[0].num_rows:
-            yield out(pa.concat_tables(held))
+                yield out(t.slice(at, min(tile, end - at)))
+                at += min(tile, end - at)
+            held = [t.slice(at)] if at < t.num_rows else []
+        if held:
+            t = pa.concat_tables(held).combine_chunks()
+            ends = np.r_[np.flatnonzero(_changes(t.column("grp"))) + 1, t.num_rows]
+            for a, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                for at in range(a, e, tile):
+                    yield out(t.slice(at, min(tile, e - at)))
 
-    tiles = save(ordered.mapInArrow(cut, "grp int, tile long, lo double, hi double, ids binary, us binary"))
-    # |x - y|^2 = 2 - 2 cos for unit vectors, and no coordinate differs by more than |x - y|
-    gap = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    # pairs of tile names first: few bytes each; the blobs come by two joins
-    names = tiles.select("grp", "tile", "lo", "hi")
-    other = names.select("grp", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # buckets as wide as the gap: tiles meet in an equi-join only in the buckets they touch
-    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / gap).cast("long"), F.floor(F.col(hi) / gap).cast("long")))
-    left = names.withColumn("k", bucket("lo", "hi"))
-    right = other.withColumn("lo2x", F.col("lo2") - gap).withColumn("hi2x", F.col("hi2") + gap).withColumn("k", bucket("lo2x", "hi2x"))
-    pairs = left.join(right, ["grp", "k"]).where("tile <= tile2 and lo <= hi2x and hi >= lo2x").select("grp", "tile", "tile2").distinct()
-    blobs = tiles.select("tile", "ids", "us")
-    joined = pairs.repartition(n, "tile", "tile2").join(blobs, "tile").join(blobs.select(F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("us").alias("us2")), "tile2")
+    tiles = save(ordered.mapInArrow(cut, "grp string, tile long, lo array<double>, hi array<double>, ids binary, ns binary, us binary"))
+    pairs = near_tiles(tiles, threshold)
+    blobs = tiles.select("tile", "ids", "ns", "us")
+    other = blobs.select(*(F.col(c).alias(f"{c}2") for c in blobs.columns))
+    joined = pairs.repartition(parts, "tile", "tile2").join(blobs, "tile").join(other, "tile2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                get = lambda c: b.column(c)[r].as_buffer()  # noqa: B023, E731
-                ids, ids2 = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("ids2"), "<i8")
-                ua, ub = np.frombuffer(get("us"), "<f8").reshape(-1, dim), np.frombuffer(get("us2"), "<f8").reshape(-1, dim)
+                get = lambda c, t="<i8": np.frombuffer(b.column(c)[r].as_buffer(), t)  # noqa: B023, E731
+                ids, ids2, ns, ns2 = get("ids"), get("ids2"), get("ns"), get("ns2")
+                ua, ub = get("us", "<f8").reshape(-1, dim), get("us2", "<f8").reshape(-1, dim)
                 same = b.column("tile")[r].as_py() == b.column("tile2")[r].as_py()
                 i, j = compare_tiles(ua @ axes, ub @ axes, ua, ub, threshold, same)
                 if not len(i):
                     continue
-                all_ids = ids if same else np.r_[ids, ids2]
+                all_ids, all_n = (ids, ns) if same else (np.r_[ids, ids2], np.r_[ns, ns2])
                 j = j if same else j + len(ids)
                 order = np.argsort(all_ids, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                counts = np.bincount(np.r_[i, j], minlength=len(all_ids))
-                has = np.flatnonzero(counts)
-                e1, e2 = forest(rank[i], rank[j], len(all_ids))
-                ordered_ids = all_ids[order]
-                yield pa.record_batch({"kind": pa.array([0] * len(has) + [1] * len(e1), pa.int32()), "a": pa.array(np.r_[all_ids[has], ordered_ids[e1]]), "b": pa.array(np.r_[counts[has], ordered_ids[e2]].astype(np.int64))})
+                links = np.zeros(len(all_ids), np.int64)
+                np.add.at(links, i, all_n[j])
+                np.add.at(links, j, all_n[i])
+                has = np.flatnonzero(links)
+                e1, e2 = spanning_links(rank[i], rank[j], len(all_ids))
+                sorted_ids = all_ids[order]
+                yield pa.record_batch({"kind": pa.array([0] * len(has) + [1] * len(e1), pa.int32()), "a": pa.array(np.r_[all_ids[has], sorted_ids[e1]]), "b": pa.array(np.r_[links[has], sorted_ids[e2]])})
+
+    return joined.select("tile", "tile2", "ids", "ns", "us", "ids2", "ns2", "us2").mapInArrow(compare, "kind int, a long, b long")
+
 
-    return joined.select("tile", "tile2", "ids", "us", "ids2", "us2").mapInArrow(compare, "kind int, a long, b long")
+def _changes(col: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one after it."""
+    return np.asarray(pc.not_equal(col.slice(1), col.slice(0, max(0, len(col) - 1))).to_numpy(zero_copy_only=False), bool)
 
 
-def embedding_near_dedup(df: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
+    """tile, tile2 (tile <= tile2): tiles of a label whose boxes (lo, hi) are near enough for the threshold; names only, a few bytes each.
+
+    |x - y|^2 = 2 - 2 cos for unit vectors, and the boxes' distance is no more. Tiles meet in an equi-join, in buckets as wide as that
+    distance on the first axes of the boxes.
+    """
+    gap = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    names = tiles.select("grp", "tile", "lo", "hi")
+    axes = min(KEYS, len(names.first()["lo"])) if not names.isEmpty() else 0
+
+    def buckets(df: DataFrame, lo: str, hi: str, more: float) -> DataFrame:
+        for i in range(axes):
+            at = lambda c, m, i=i: F.floor((F.get(F.col(c), F.lit(i)) + m) / gap).cast("long")
+            df = df.withColumn(f"k{i}", F.explode(F.sequence(at(lo, -more), at(hi, more))))
+        return df
+
+    left = buckets(names, "lo", "hi", 0.0)
+    right = buckets(names.select("grp", *(F.col(c).alias(f"{c}2") for c in ("tile", "lo", "hi"))), "lo2", "hi2", gap)
+    apart = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("lo2", "hi", lambda x, y: F.greatest(x - y, F.lit(0.0))), lambda x, y: (x + y) * (x + y))
+    met = left.join(right, ["grp", *(f"k{i}" for i in range(axes))]).where("tile <= tile2")
+    return met.where(F.aggregate(apart, F.lit(0.0), lambda x, y: x + y) <= gap * gap).select("tile", "tile2").distinct()
+
+
+def embedding_near_dedup(df: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector of ``df`` (vec_id, embedding, label; other columns are ignored).
 
-    Vectors link if their labels are equal and not null and their cosine is at least ``threshold``.
-    Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as
+    Vectors link if their labels (of any type, compared as strings) are equal and not null and their cosine is at least
+    ``threshold``, which must be above 0. Null, empty and zero vectors, and those with null or non-finite components, link with nothing, as
     do vectors of different lengths. Rows that repeat a vec_id count once (the smallest label and
     vector); rows without vec_id are left out. An empty table gives an empty result.
     """
-    links, edges = embedding_links(df, threshold)
-    comp = connected_components(edges)
+    ship(df.sparkSession)
+    rows = save(clean_vectors(df, "label").where("grp is not null").where(F.exists("v", lambda x: x != 0)))
+    classes = save(rows.groupBy("grp", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    links, edges = embedding_links(classes, threshold, tile)
+    comp = connected_components(edges).select(F.col("node").alias("rep"), "component_id")
+    done = classes.join(links, "rep", "left").join(comp, "rep", "left").select("grp", "v", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    linked = join_groups(rows, save(done), ["grp", "v"]).select("vec_id", "n_links", "component_id")
     ids = df.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-    return (
-        ids.join(links, "vec_id", "left")
-        .join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+    out = ids.join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import save, ship
+from cardloom.llm.common import join_groups, save, ship
 
 LEAF = 256
 EXACT = 2.0**53
@@ -66,7 +66,7 @@ def split_space(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             values.append(x[order[m], axis])
             new += [a, m]
         cuts = np.array([*new, len(x)])
-    return np.array(axes, np.int64), np.array(values, np.int64)
+    return np.array(axes, np.int64), np.array(values, x.dtype)
 
 
 def cell_of(x: np.ndarray, axes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -261,11 +261,11 @@ class Search:
 
     def _visit(self, pairs: DataFrame, kth: DataFrame | None) -> DataFrame:
         """query_id, vec_id, score of what each query finds in its shards; pairs (query_id, shard)."""
-        dim, k = self.dim, self.k
-        load = pairs.groupBy("shard").agg(F.ceil(F.count("*") / TOGETHER).alias("salts"))
-        asked = pairs.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts"))).select("shard", "salt", "query_id").join(self.queries, "query_id")
+        dim, k, pairs = self.dim, self.k, save(pairs)
+        load = save(pairs.groupBy("shard").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TOGETHER).alias("salts")))
+        asked = join_groups(pairs, load, ["shard"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts"))).select("shard", "salt", "query_id").join(self.queries, "query_id")
         asked = asked.join(kth, "query_id", "left") if kth is not None else asked.withColumn("kth", F.lit(None).cast("long"))
-        held = self.trees.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+        held = self.trees.join(load.drop("n"), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
         def look(key: tuple, q: pa.Table, s: pa.Table) -> pa.Table:
             empty = np.empty(0, np.int64)
@@ -293,14 +293,14 @@ class Search:
         """What the queries find in their AHEAD best shards, and (query_id, shard, rank) of these."""
         w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
         top = save(self._bounded(self.blocks, AHEAD).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= AHEAD))
-        one = save(self._visit(top.where("rank = 1"), None))
+        one = save(self._visit(top.where("rank = 1").select("query_id", "shard"), None))
         kth = self._kth(one)
         more = top.where("rank > 1").join(kth, "query_id", "left").where("kth is null or bound >= kth").select("query_id", "shard")
         return one.unionAll(save(self._visit(more, kth))), top
 
     def run(self) -> DataFrame:
         found, top = self.first()
-        return found.unionAll(self._visit(save(self.rest(found, top)), self._kth(found)))
+        return found.unionAll(self._visit(self.rest(found, top), self._kth(found)))
 
 
 def integer_vectors(df: DataFrame, scale: float = 1024.0) -> DataFrame:

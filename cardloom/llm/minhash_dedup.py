@@ -6,10 +6,11 @@ packed. Candidates are first estimated from the packed bits: a share m of equal
 of about (m - c) / (1 - c), where c = 2 ** -BITS is how often unequal minima collide. What passes a margin
 far below the threshold is confirmed on the full sets.
 
-Documents with equal sets are one class, and only its first document goes on. Within a bucket each member meets
-the first one (a star); only buckets whose members are then still in different components are
-compared in full, in tiles and inside numpy, where pairs of one component are left out. No pairs leave
-such a block, but at most one link for each of its rows.
+Documents with equal sets are one class, and only its first document goes on; the classes are confirmed on the full sets
+as well. Within a bucket each member meets the first one (a star); only buckets whose members are then still in different
+components are compared in full, in tiles bounded by rows and bytes and inside numpy: first by their packed bits, then, for the rows
+that have a likely partner, by their full sets. A pair is looked at in the first band that it shares, and not if it is in
+one component. No pairs leave such a block, but at most one link for each of its rows.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import _GOLD, fmix, pieces, save, shingles, ship, words_of
-from cardloom.llm.components import connected_components
-from cardloom.llm.embedding_dedup import forest
+from cardloom.llm.common import _GOLD, fmix, join_groups, pieces, save, shingles, ship, words_of
+from cardloom.operators.components import connected_components, spanning_links
 
 BITS = 2
 HASHES, ROWS = 192, 6
-TILE = 256
+TILE, TILE_BYTES = 256, 4 << 20  # of a bucket: rows, and bytes of full sets
+COPIES = 4096  # documents of a class that one task confirms
 _PACK = np.uint64(0x5555555555555555)
 
 
@@ -99,6 +100,16 @@ def document_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray
     return g, np.searchsorted(d, np.arange(batch.num_rows + 1))
 
 
+def set_names(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(2, documents) numbers, 128 bits that name each set; 0 for empty ones."""
+    f = np.zeros((2, len(first) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        f[0, full] = np.add.reduceat(fmix(g ^ _GOLD), first[full])
+        f[1, full] = np.add.reduceat(fmix(g * _GOLD + np.uint64(1)), first[full])
+    return f.view(np.int64)
+
+
 def sketch(docs: DataFrame, k: int = 5, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, and for nonempty sets f1, f2 (128 bits that name the set), bands (keys) and sig (packed bits)."""
     ship(docs.sparkSession)
@@ -108,16 +119,14 @@ def sketch(docs: DataFrame, k: int = 5, hashes: int = HASHES, rows: int = ROWS)
             g, first = document_sets(b, k)
             n = np.diff(first)
             full = np.flatnonzero(n)
-            f = np.zeros((2, b.num_rows), np.uint64)
+            f = set_names(g, first)
             bands, sig = [None] * b.num_rows, [None] * b.num_rows
             if len(full):
                 starts = first[full]
-                f[0, full] = np.add.reduceat(fmix(g ^ _GOLD), starts)
-                f[1, full] = np.add.reduceat(fmix(g * _GOLD + np.uint64(1)), starts)
                 m = minima(g, np.r_[starts, len(g)], hashes)
                 for i, x, y in zip(full, band_keys(m, rows).view(np.int64), pack_bits(m), strict=True):
                     bands[i], sig[i] = x, y.tobytes()
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "f1": pa.array(f[0].view(np.int64)), "f2": pa.array(f[1].view(np.int64)), "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "f1": pa.array(f[0]), "f2": pa.array(f[1]), "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary")
 
@@ -192,43 +201,97 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
+def confirmed_copies(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Links (a, b) that join the members (doc_id, f1, f2, n_shingles, size) of each class, found equal on their full sets.
+
+    Members of a class are compared in runs of about COPIES, each with the first of its run; the first ones meet in a
+    second pass. A task holds the sets of one document and of a batch. Different sets of one 128-bit name stop the job.
+    """
+    name = ["f1", "f2", "n_shingles"]
+    own = members.select("doc_id", *name, F.ceil(F.col("size") / COPIES).alias("salts")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own.hint("merge"), "doc_id")
+
+    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            g, first = document_sets(b, k)
+            f, n = set_names(g, first), np.diff(first)
+            mine = np.flatnonzero((f[0] == b.column("f1").to_numpy()) & (f[1] == b.column("f2").to_numpy()) & (n == b.column("n_shingles").to_numpy()))
+            rows = b.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *name, "salts")), pa.array([g[first[i] : first[i + 1]].tobytes() for i in mine], pa.binary())], ["doc_id", *name, "salts", "s"])
+
+    def chain(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
+        head, known = None, b""
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                key = r["f1"], r["f2"], r["n_shingles"], r["salt"]
+                if head is None or key != head[0]:
+                    head, known = (key, r["doc_id"]), r["s"]
+                    out.append((r["doc_id"], r["doc_id"], *key[:3], known if again and r["salts"] > 1 else None))
+                elif r["s"] != known:
+                    raise ValueError(f"documents {head[1]} and {r['doc_id']} have different sets of one name")
+                else:
+                    out.append((r["doc_id"], head[1], *key[:3], None))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)] if out else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.binary()]], ["a", "b", *name, "s"])
+
+    schema = "a long, b long, f1 long, f2 long, n_shingles long, s binary"
+    sets = texts.mapInArrow(to_set, "doc_id long, f1 long, f2 long, n_shingles long, salts long, s binary").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    one = sets.repartition(*name, "salt").sortWithinPartitions(*name, "salt", "doc_id").mapInArrow(lambda x: chain(x, True), schema)
+    one = save(one)
+    heads = one.where("s is not null").select(F.col("a").alias("doc_id"), *name, F.lit(1).cast("long").alias("salts"), "s", F.lit(0).cast("long").alias("salt"))
+    two = heads.repartition(*name).sortWithinPartitions(*name, "doc_id").mapInArrow(lambda x: chain(x, False), schema)
+    return one.unionAll(two).where("a <> b").select("a", "b")
+
+
+def _likely(t: pa.Table, floor: float, hashes: int) -> np.ndarray:
+    """Pairs of a block that are worth comparing: likely by their packed bits, in different components, and in no band of theirs before this one."""
+    comp, bands = t.column("comp").to_numpy(), np.array(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    key, out = t.column("key")[0].as_py(), np.zeros((t.num_rows, t.num_rows), bool)
+    for s in range(0, t.num_rows, 64):
+        out[s : s + 64] = (estimate(equal_groups(sig[s : s + 64, None], sig[None, :], hashes), hashes) >= floor) & (comp[s : s + 64, None] != comp[None, :])
+        i, j = np.nonzero(out[s : s + 64])
+        for a in range(0, len(i), 8192):
+            x, y = i[a : a + 8192] + s, j[a : a + 8192]
+            first = bands[x, (bands[x] == bands[y]).argmax(1)]
+            out[x, y] = first == key
+    return out
+
+
 def _tiled(members: DataFrame, sets: DataFrame, floor: float, percent: int, hashes: int, tile: int) -> DataFrame:
-    """Links (a, b) that connect what all links between members (key, doc_id, comp, sig) of one bucket but different components connect.
+    """Links (a, b) that connect what all links between members (key, doc_id, comp, sig, bands, n_shingles) of one bucket but different components connect.
 
-    A bucket of up to ``tile`` members is one block; a larger one is cut at random into tiles, and each
-    pair of tiles is a block of its own, so that a block holds at most about 2 * tile rows. A block
-    estimates all its pairs from the packed bits and confirms the rest on the full sets; what leaves it is no
-    more than one link a row.
+    A bucket of up to ``tile`` members and TILE_BYTES bytes of sets is one block; a larger one is dealt by hash to tiles, and each
+    pair of tiles is a block of its own, so that a block holds about two tiles. A block estimates all its pairs from
+    the packed bits; the sets of rows with a likely partner are then brought there and compared. What leaves it is no more than one link a row.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
-    m = members.join(size, "key").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    m = m.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    size = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(8 * F.col("n_shingles")) / TILE_BYTES)).alias("tiles"))
+    size = size.join(members.groupBy("key").agg(F.count("*").alias("rows")), "key").select("key", F.least("tiles", "rows").cast("int").alias("tiles"))
+    m = members.join(size, "key").withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     # block (low, high) of tiles; a tile takes part in `tiles` blocks
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "doc_id", "comp", "sig").join(sets, "doc_id")
+    m = m.select("key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "doc_id", "comp", "sig", "bands")
+    types = "key long, lo int, hi int, doc_id long, comp long, sig binary, bands array<long>"
+
+    def sift(_: tuple, t: pa.Table) -> pa.Table:
+        return t.filter(pa.array(_likely(t, floor, hashes).any(1)))
+
+    live = save(m.groupBy("key", "lo", "hi").applyInArrow(sift, types)).join(sets.hint("merge"), "doc_id")
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
-        ids, comp = t.column("doc_id").to_numpy(), t.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-        likely = np.zeros((len(ids), len(ids)), bool)
-        for s in range(0, len(ids), 64):
-            likely[s : s + 64] = (estimate(equal_groups(sig[s : s + 64, None], sig[None, :], hashes), hashes) >= floor) & (comp[s : s + 64, None] != comp[None, :])
-        rows = np.flatnonzero(likely.any(1))
-        if not len(rows):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        s = t.column("s")
-        each = [np.frombuffer(s[int(i)].as_buffer(), np.uint64) for i in rows]
+        ids = t.column("doc_id").to_numpy()
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
         n = np.array([len(x) for x in each])
         same = intersections(each)
-        i, j = np.nonzero(likely[np.ix_(rows, rows)] & (100 * same >= percent * (n[:, None] + n[None, :] - same)))
-        order = np.argsort(ids[rows], kind="stable")
+        i, j = np.nonzero(_likely(t, floor, hashes) & (100 * same >= percent * (n[:, None] + n[None, :] - same)))
+        order = np.argsort(ids, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        a, b = forest(rank[i], rank[j], len(rows))
-        named = ids[rows][order]
+        a, b = spanning_links(rank[i], rank[j], len(ids))
+        named = ids[order]
         return pa.table({"a": pa.array(named[a]), "b": pa.array(named[b])})
 
-    return m.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return live.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS, tile: int = TILE, margin: float = 0.18) -> DataFrame:
@@ -248,12 +311,12 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     sk = save(sketch(docs, k, hashes, rows))
     full = sk.where("n_shingles > 0 and doc_id is not null")
     # one class for each set: its first document goes on
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     name = ["f1", "f2", "n_shingles"]
-    followers = full.select("doc_id", *name).join(classes.where("n > 1"), name).where("doc_id <> rep")
-    copies = followers.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # a set leaves, not a doc_id: that may have other texts
-    reps = full.join(followers.select("doc_id", *name).distinct(), ["doc_id", *name], "left_anti").select("doc_id", "bands", "sig")
+    classes = save(full.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    many = classes.where("n > 1").withColumn("size", F.col("n"))
+    copies = confirmed_copies(docs, save(join_groups(full.select("doc_id", *name), many, name)), k)
+    # a set goes on, not a doc_id: that may have other texts
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), *name).hint("merge"), ["doc_id", *name], "left_semi").select("doc_id", "bands", "sig", "n_shingles")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
@@ -270,11 +333,11 @@ def minhash_near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, hashes: i
     # buckets that still hold several components
     labelled = members.join(comp.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(sigs, "doc_id")
-    rest = save(rest)
+    rest = save(labelled.join(mixed, "key", "left_semi").join(reps, "doc_id"))
     more_links = save(_tiled(rest, full_sets(docs, rest.select("doc_id"), k), floor, percent, hashes, tile))
     edges = links.unionAll(more_links).unionAll(copies)
     final = connected_components(edges)
+    component = F.coalesce("component_id", "doc_id")
     return sk.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")
     )
