@@ -1,8 +1,8 @@
 """Quality by importance resampling (Xie et al., 2023): hashed n-gram models of target and raw text.
 
 The log importance weight of a text is the sum over its words, word pairs and word ends of log p_target - log p_raw,
-both taken over 2 ** bits hash buckets. Texts are sampled without replacement by Gumbel top-k: the k with
-the largest log weight plus Gumbel noise.
+both taken over 2 ** bits hash buckets. Texts are sampled without replacement in proportion to their weights by Gumbel top-k: the k with
+the largest log weight plus Gumbel noise, where k is how many texts weigh at least what good texts do (see ``fit``).
 """
 
 from __future__ import annotations
@@ -57,12 +57,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """The table of log ratios, and the log weight per n-gram under which a text is taken for low quality.
+    """The table of log ratios, and the log weight under which a text is taken for low quality; the texts that reach it are counted for k.
 
     Target: texts labelled quality = 1. Raw: all texts. At most ``labelled`` labels are used, those with
     the smallest hash of doc_id. Two thirds of the good texts make the target model; the limit is the one
     that gains most on the rest of the labels, which the model has not seen: the share of bad texts under it
     less five times the share of good ones, placed in the middle of the gap. Without labels of both kinds there nothing is rejected.
+    Documents are weighed once for each labelled doc_id (the smallest weight, if texts differ).
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -70,9 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: int
     texts = save(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # at most `labelled` ids
     held_out = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0
     table = log_ratio(bucket_counts(texts.where("quality = 1").where(~held_out), bits), bucket_counts(docs, bits))
-    seen = weights(texts.where(held_out), table, bits).select("quality", "log_weight", "n_grams").collect()  # at most `labelled` rows of three numbers
-    x = np.array([r["log_weight"] / max(1, r["n_grams"]) for r in seen])
-    y = np.array([r["quality"] for r in seen])
+    seen = weights(texts.where(held_out), table, bits).groupBy("doc_id", "quality").agg(F.min("log_weight").alias("w")).collect()  # at most `labelled` rows
+    x, y = np.array([r["w"] for r in seen]), np.array([r["quality"] for r in seen])
     if not len(y) or not (y == 1).any() or not (y == 0).any():
         return table, -np.inf
     o = np.argsort(x, kind="stable")
@@ -147,25 +147,21 @@ def resample(weighted: DataFrame, k: int, seed: int = 11, temperature: float = 1
     return keyed.withColumn("selected", top_k(keyed.select("doc_id", "gumbel_key"), k))
 
 
-def _beyond(limit: float) -> Column:
-    return F.col("log_weight") - F.lit(limit) * F.col("n_grams")
+def _keyed(docs: DataFrame, table: np.ndarray, limit: float, seed: int) -> tuple[DataFrame, Column]:
+    """The weights of ``docs`` with their keys, saved, and whether a row is sampled: k is the number of texts that reach ``limit``."""
+    keyed = save(weights(docs.select("doc_id", "text"), table).withColumn("gumbel_key", gumbel_key(F.col("log_weight"), seed, 1.0)))
+    return keyed, top_k(keyed.select("doc_id", "gumbel_key"), keyed.where(F.col("log_weight") >= limit).count())
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, log_weight, n_grams, gumbel_key, selected for each row of ``docs`` (doc_id, text).
 
-    k is the number of texts whose log weight per n-gram reaches the learned limit. The weight that is
-    sampled is the log weight beyond that limit, n_grams * (log_weight / n_grams - limit): texts of any length start
-    even at the limit, and clear cases are far beyond the noise. Texts without words hold no evidence and
-    weigh 0, as at the limit. Labels whose document is missing teach nothing; without labels all are selected.
+    k is the number of texts whose log weight reaches the learned limit. Texts without words hold no evidence and
+    weigh 0; null texts count as empty. Rows repeated under a doc_id share their noise. Labels whose document is missing teach
+    nothing; without labels of both kinds all are selected. An empty table gives an empty result.
     """
-    table, limit = fit(docs, labels)
-    w = weights(docs.select("doc_id", "text"), table)
-    if limit == -np.inf:
-        return w.withColumn("gumbel_key", F.col("log_weight")).withColumn("selected", F.lit(True))
-    keyed = save(w.withColumn("gumbel_key", gumbel_key(_beyond(limit), seed, 1.0)))
-    k = keyed.where(_beyond(limit) >= 0).count()
-    return keyed.withColumn("selected", top_k(keyed.select("doc_id", "gumbel_key"), k))
+    keyed, chosen = _keyed(docs, *fit(docs, labels), seed)
+    return keyed.withColumn("selected", chosen)
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
@@ -173,8 +169,5 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFra
     table, limit = fit(docs, labels)
     if limit == -np.inf:
         return docs
-    key = gumbel_key(_beyond(limit), seed, 1.0)
-    keyed = save(weights(docs.select("doc_id", "text"), table).withColumn("gumbel_key", key))
-    k = keyed.where(_beyond(limit) >= 0).count()
-    chosen = top_k(keyed.select("doc_id", "gumbel_key"), k)
-    return weights(docs, table, with_text=True).withColumn("gumbel_key", key).where(chosen).select(*docs.columns)
+    chosen = _keyed(docs, table, limit, seed)[1]
+    return weights(docs, table, with_text=True).withColumn("gumbel_key", gumbel_key(F.col("log_weight"), seed, 1.0)).where(chosen).select(*docs.columns)
