@@ -1,6 +1,6 @@
 """Language ID by hyperdimensional profiles.
 
-Each symbol has a random vector of +1 and -1. A trigram is the product (binding) of its letters'
+Each letter of any script, lower-cased, and the gap between words has a random vector of +1 and -1. A trigram is the product (binding) of its letters'
 vectors, the first rolled by two places and the second by one (permutation); a document is the sum
 (bundling) of its trigrams, a language the sum of its documents' unit vectors. A document gets the
 language whose prototype has the largest cosine with it.
@@ -20,68 +20,101 @@ from cardloom.llm.common import pieces, ship, worker_cache
 
 DIM = 512
 SEED = 20_240_607
-#: Symbols: 0 the gap between words, 1-26 a-z, 27-58 the letters from U+00DF on, 59-63 all other letters by code point.
-SYMBOLS = 64
+#: Symbols: 0 the gap between words, 1-26 a-z, 27-58 the letters from U+00DF on; other letters get numbers as a process meets them.
+FIRST, SYMBOLS = 59, 64
 SAMPLE = 20_000
 #: A claimed language is refuted if it carries less than a fifth of a text: this share of what the found language carries, by SURE standard errors.
 CLAIMED_SHARE, SURE = 0.25, 2.0
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane, lower-cased; -1 marks letters outside it."""
-    t = np.zeros(65536, np.uint8)
-    for c in range(0x21, 65536):
-        if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
-            low = ord(ch.lower()[0])
-            t[c] = low - 96 if 97 <= low <= 122 else 27 + low - 0xDF if 0xDF <= low <= 0xFE else 59 + low % 5
-    return t
-
-
-def trigram_vectors(dim: int = DIM, seed: int = SEED) -> np.ndarray:
-    """int8 vectors of all trigrams, at (a * SYMBOLS + b) * SYMBOLS + c; made in blocks, once per process."""
+def letter_vector(code: int, dim: int = DIM, seed: int = SEED) -> np.ndarray:
+    """The vector of +1 and -1 of a letter, a function of its code point; 0 is the gap between words."""
+    return (np.random.default_rng((seed, code)).integers(0, 2, dim) * 2 - 1).astype(np.int8)
+
+
+def lower_letter(ch: str) -> int:
+    """Code point of the lower-case letter; 0 for what is no letter."""
+    return ord(ch.lower()[0]) if ch.isalpha() else 0
+
+
+class Letters:
+    """Symbols of code points, and the vectors of symbols. The vectors depend on the letters alone, not on the numbers they get."""
+
+    def __init__(self, dim: int, seed: int):
+        self.dim, self.seed = dim, seed
+        self.lower = np.array([0 if 0xD800 <= c < 0xE000 else lower_letter(chr(c)) for c in range(65536)], np.int64)
+        self.number: dict[int, int] = {0: 0} | {96 + i: i for i in range(1, 27)} | {0xDF + i: 27 + i for i in range(FIRST - 27)}
+        self.symbol = np.full(65536, -1, np.int64)
+        codes = [0, *range(97, 123), *range(0xDF, 0xDF + FIRST - 27)]
+        self.vectors = np.array([letter_vector(c, dim, seed) for c in codes] + [np.ones(dim, np.int8)] * (SYMBOLS - FIRST))
+        for c in np.flatnonzero(np.isin(self.lower, codes)):
+            self.symbol[c] = self.number[int(self.lower[c])]
+        self.two = (np.roll(self.vectors, 2, 1)[:, None, :] * np.roll(self.vectors, 1, 1)[None, :, :]).reshape(-1, dim)
+        self.held = len(codes)
+
+    def learn(self, low: int) -> int:
+        if low not in self.number:
+            if self.held == len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.ones_like(self.vectors)])
+            self.vectors[self.held] = letter_vector(low, self.dim, self.seed)
+            self.number[low], self.held = self.held, self.held + 1
+        return self.number[low]
+
+    def symbols(self, text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.symbol[np.minimum(c, 65535)]
+        if (far := np.flatnonzero((c > 65535) | (s < 0))).size:
+            for code in np.unique(c[far]).tolist():
+                low = int(self.lower[code]) if code < 65536 else lower_letter(chr(code))
+                n = self.learn(low)
+                if code < 65536:
+                    self.symbol[code] = n
+                s[c == code] = n
+        return s
+
+    def sum_of(self, at: np.ndarray, n: np.ndarray, base: int) -> np.ndarray:
+        """The bundle of the trigrams numbered ``at`` to ``base``, ``n`` times each."""
+        v = np.zeros(self.dim, np.float32)
+        for i in range(0, len(at), 4096):
+            p = at[i : i + 4096]
+            pair = self.two[p // base] if base == SYMBOLS else np.roll(self.vectors[p // base**2], 2, 1) * np.roll(self.vectors[p // base % base], 1, 1)
+            v += n[i : i + 4096].astype(np.float32) @ (pair * self.vectors[p % base]).astype(np.float32)
+        return v
+
+
+def letters(dim: int = DIM, seed: int = SEED) -> Letters:
+    """Made once per process."""
     cache = worker_cache()
     if ("hd", dim, seed) not in cache:
-        letters = (np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dim)) * 2 - 1).astype(np.int8)
-        two = np.roll(letters, 2, 1)[:, None, :] * np.roll(letters, 1, 1)[None, :, :]
-        cache["hd", dim, seed] = letters, two.reshape(-1, dim)
+        cache["hd", dim, seed] = Letters(dim, seed)
     return cache["hd", dim, seed]
 
 
-def _table() -> np.ndarray:
-    cache = worker_cache()
-    if "hd-symbols" not in cache:
-        cache["hd-symbols"] = symbol_table()
-    return cache["hd-symbols"]
-
-
-def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and counts of the trigrams of a text whose letters are lower-cased and whose gaps count as one symbol."""
-    if not text:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _table()[np.minimum(c, 65535)]
-    if (far := np.flatnonzero(c > 65535)).size:
-        s[far] = [59 + ord(text[i]) % 5 if text[i].isalpha() else 0 for i in far]
+def trigram_counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers and counts of the trigrams of symbols (base SYMBOLS if all have numbers below FIRST), where gaps of any length count as one symbol, and the base of the numbers."""
     if not s.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    s = np.r_[np.uint8(0), s, np.uint8(0)]
-    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]].astype(np.int32)
-    g = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+        return np.empty(0, np.int64), np.empty(0, np.int64), SYMBOLS
+    s = np.concatenate([[0], s, [0]])
+    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
+    top = int(s.max())
+    base = SYMBOLS if top < FIRST else max(SYMBOLS, top) + 1
+    g = (s[:-2] * base + s[1:-1]) * base + s[2:]
+    if base > SYMBOLS:
+        return *np.unique(g, return_counts=True), base
     n = np.bincount(g)
     at = np.flatnonzero(n)
-    return at, n[at]
+    return at, n[at], base
 
 
 def document_vector(text: str | None, dim: int = DIM, seed: int = SEED) -> np.ndarray | None:
     """Unit vector of a text; None if it has no letters."""
-    at, n = trigram_counts(text)
+    if not text:
+        return None
+    known = letters(dim, seed)
+    at, n, base = trigram_counts(known.symbols(text))
     if not len(at):
         return None
-    letters, two = trigram_vectors(dim, seed)
-    v = np.zeros(dim, np.float32)
-    for s in range(0, len(at), 4096):
-        p = at[s : s + 4096]
-        v += n[s : s + 4096].astype(np.float32) @ (two[p // SYMBOLS] * letters[p % SYMBOLS]).astype(np.float32)
+    v = known.sum_of(at, n, base)
     norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
     return v / norm if norm else v
 

@@ -182,37 +182,38 @@ def cut_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 0
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = 20_000) -> DataFrame:
-    """``rows`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
+    """``rows`` (doc_id, piece, start, length, ids_crc32, and any other columns) with sequence_id and offset, which replace columns of these names.
 
     Ranks within a length are counted in salted groups of about ``group`` rows, so that a length that a
     third of all pieces share is no single task. Equal rows are interchangeable. No rows, no sequences.
     """
     spark = rows.sparkSession
     ship(spark)
-    rows = save(rows)
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    cols = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    # names of its own for all columns, so that no further column of the caller's clashes
+    own = {c: f"c{i}" for i, c in enumerate(cols)}
+    kept = save(rows.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())))
+    length, order = own["length"], [own[c] for c in ("doc_id", "piece", "start", "ids_crc32")]
+    counts = {r[0]: r[1] for r in kept.groupBy(length).agg(F.count("*")).collect()}  # at most `capacity` rows
     table = lanes(plan(counts, capacity))
-    salts = max(1, min(65_536, sum(counts.values()) // group))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    size = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = size.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(w) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
+    salts = max(1, sum(counts.values()) // group)
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64(order[0], order[1]), F.lit(salts)))
+    size = salted.groupBy(length, "salt").agg(F.count("*").alias("n"))
+    before = size.select(length, "salt", (F.sum("n").over(Window.partitionBy(length).orderBy("salt")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(length, "salt").orderBy(*order)) - 1
+    ranked = salted.withColumn("rank", rank).join(before, [length, "salt"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.searchsorted(table["length"], np.arange(capacity + 2))
         step = np.int64(1) << 48
         keys = table["length"] * step + table["first"]
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            at = np.searchsorted(keys, length * step + rank, "right") - 1
-            assert len(at) == 0 or (at >= starts[length]).all()
-            names = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(table["base"][at] + rank - table["first"][at]), pa.array(table["offset"][at])], [*names, "sequence_id", "offset"])
-
-    cols = [c for c in rows.columns if c not in ("sequence_id", "offset", "rank")]
-    schema = StructType([rows.schema[c] for c in cols]).add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*cols, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
+            long, rank = b.column(length).to_numpy(), b.column("rank").to_numpy()
+            at = np.searchsorted(keys, long * step + rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in own.values()), pa.array(table["base"][at] + rank - table["first"][at]), pa.array(table["offset"][at])], [*own.values(), "sequence_id", "offset"])
+
+    schema = StructType([kept.schema[n] for n in own.values()]).add("sequence_id", "long").add("offset", "long")
+    done = ranked.select(*own.values(), "rank").mapInArrow(place, schema)
+    return done.select(*(F.col(n).alias(c) for c, n in own.items()), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

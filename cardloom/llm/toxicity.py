@@ -20,6 +20,8 @@ from cardloom.llm.common import fmix, pieces, ship, words_of
 BITS = 18
 #: Most positive and most unlabelled texts that a model is fitted on.
 POSITIVE, UNLABELLED = 6000, 12_000
+#: Most features of one text in the fit (those with the smallest hash): the samples are bounded in bytes too. Scores use all features.
+LONGEST = 20_000
 PREFIXES = (4, 5, 6)
 
 
@@ -32,17 +34,19 @@ def features(batch: pa.RecordBatch, bits: int = BITS) -> tuple[np.ndarray, np.nd
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def collect_features(docs: DataFrame, bits: int = BITS) -> list[np.ndarray]:
-    """Feature lists of a bounded set of texts, on the driver."""
+def collect_features(docs: DataFrame, most: int, bits: int = BITS, longest: int = LONGEST) -> list[np.ndarray]:
+    """Feature lists of at most ``most`` of the texts (h, text), those with the smallest h, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             doc, f = features(b, bits)
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.record_batch({"h": b.column("h"), "f": pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+            lists = [f[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            lists = [x if len(x) <= longest else np.sort(x[np.argsort(fmix(x.astype(np.uint64)), kind="stable")[:longest]]) for x in lists]
+            yield pa.record_batch({"h": b.column("h"), "f": pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())})
 
-    rows = docs.select("h", "text").mapInArrow(run, "h long, f binary").collect()
-    return [np.frombuffer(r["f"], "<i4") for r in sorted(rows, key=lambda r: (r["h"], r["f"]))]
+    rows = docs.select("h", "text").mapInArrow(run, "h long, f binary").orderBy("h", "f").limit(most).collect()
+    return [np.frombuffer(r["f"], "<i4") for r in rows]
 
 
 def informative(pos: list[np.ndarray], unl: list[np.ndarray], ratio: float = 1.0, support: float = 0.005, bits: int = BITS) -> np.ndarray:
@@ -58,6 +62,19 @@ def informative(pos: list[np.ndarray], unl: list[np.ndarray], ratio: float = 1.0
     return np.where((p >= support * len(pos)) & (p >= chance + 4 * np.sqrt(chance) + 3) & (r >= ratio), r, 0.0)
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk for the logits of positive and unlabelled texts: prior * E_pos[l(+)], and E_unl[l(-)] - prior * E_pos[l(-)]."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By which the logits are to fall: the gradient of the whole risk or, where its second part is below 0, of minus that part."""
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (zp, zu))
+    if risk(zp, zu, prior)[1] >= 0:
+        return np.full(len(zp), -prior / len(zp)), su / len(zu)
+    return prior * sp / len(zp), -su / len(zu)
+
+
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adagrad on the non-negative risk with the logistic loss, over features scaled by their log ratios."""
     bias, b2 = float(np.log(prior / (1 - prior))), 1e-8
@@ -75,16 +92,10 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: i
 
     (fp, rp), (fu, ru) = flat(pos), flat(unl)
     w, g2 = np.full(len(chosen), 0.5), np.full(len(chosen), 1e-8)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(steps):
         ws = w * size
         zp, zu = np.bincount(rp, ws[fp], len(pos)) + bias, np.bincount(ru, ws[fu], len(unl)) + bias
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            dp, du = np.full(len(pos), -prior / len(pos)), su / len(unl)
-        else:
-            dp, du = prior * sp / len(pos), -su / len(unl)
+        dp, du = slopes(zp, zu, prior)
         g = (np.bincount(fp, dp[rp], len(w)) + np.bincount(fu, du[ru], len(w))) * size + 1e-4 * w
         g2 += g * g
         w = np.maximum(w - rate * g / np.sqrt(g2), 0)  # these features only ever speak for toxicity
@@ -114,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     total = docs.agg(F.count("*")).first()[0]
     share = min(1.0, unlabelled / max(1, total))
     unl = docs.select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return fit_nnpu(collect_features(pos), collect_features(unl), prior)
+    return fit_nnpu(collect_features(pos, positive), collect_features(unl, 2 * unlabelled), prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -> DataFrame:
