@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vec_id; see embedding_near_dedup. Rows without vec_id are left out."""
     return embedding_near_dedup(read_table(spark, sf_dir, "embeddings"), 0.98)
 
 
@@ -28,6 +29,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each row, read back from the files; see write_tokens. Null texts are empty; null doc_ids come first."""
     data = token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), token_files.default_path(spark))
     return token_files.read_tokens(spark, data)
 
@@ -38,40 +40,48 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; see minhash_near_dedup. Rows without doc_id are alone and not kept."""
     return minhash_near_dedup(read_table(spark, sf_dir, "documents"), 5, 85)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row; rows without doc_id are not learned from and not held out; null and empty texts get the bias alone."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 5) == 0
     model = toxicity.train(docs.where(~held_out), read_table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row; rows without doc_id are not learned from and not held out; null texts get und."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
     prototypes = language_id.fit_prototypes(docs.where(~held_out).select("doc_id", "text", "lang"))
     found = language_id.identify(docs.select("doc_id", "text"), prototypes)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit numbers) for each document."""
-    return sentencepiece_lattice.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit numbers), and n_chars and text_crc32 (UTF-8) of what the ids decode to, for each document."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = sentencepiece_lattice.encode(read_table(spark, sf_dir, "documents"), model, with_text=True)
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score; see exact_top_k and integer_vectors. A vec_id that repeats counts once; rows without vec_id take no part."""
     vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row; see remove_repeated. Null texts have no words; rows without doc_id stay whole."""
     return remove_repeated(read_table(spark, sf_dir, "documents"), 13)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece; see cut_pieces and pack. Null texts are one id."""
     cut = packing.cut_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packing.pack(cut)
 

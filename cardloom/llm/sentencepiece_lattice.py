@@ -1,13 +1,14 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a relational lattice, folded by merges for BPE models and by Viterbi for unigram models.
 
-A text is '_' (U+2581) before it and in place of its blanks, cut into units: a run of '_' and what follows up to
-the next one. No piece crosses from one unit into another, so each different unit is encoded once. Its substrings
-of at most the longest piece's length are exploded and equi-joined to the piece table; the matching edges are
-grouped by unit and folded with ``aggregate``.
+A text is '_' (U+2581) before it and in place of its blanks, cut into units where no piece crosses: before each
+run of '_', and between characters of different classes (characters that follow each other in some piece are of one
+class). Each different unit is encoded once: its substrings of at most the longest piece's length are exploded and
+equi-joined to the piece table; the matching edges are grouped by unit and folded with ``aggregate``.
 
 A unigram model folds Viterbi: the best score up to each place. A BPE model is not a best path but a sequence of
 merges, so its fold takes the edges by falling score, from left to right, and keeps an edge that joins exactly
-two symbols of what is there (see the README). Characters that no piece holds become byte pieces.
+two symbols of what is there (see the README). One pass over the edges is enough if each piece comes of pieces of higher
+scores; units with a piece that does not (``late_pieces``) are merged with a heap in Python. Characters that no piece holds become byte pieces.
 
 The dictionary of units goes to flat files, sorted by hash, that the workers map into memory to encode the texts.
 """
@@ -17,24 +18,90 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from cardloom.llm.common import local_path, open_fs, pieces, save, shared_dir, ship, size_bytes, worker_cache
-from cardloom.llm.encoders import _Generations
+from cardloom.llm.encoders import Learned
 
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-LONG = 256  # characters; longer units are cut in Python instead of by a fold: merges with a heap, best paths by dynamic programming
+LONG = 62  # characters: a fold keeps the boundaries of a unit in 63 bits; longer units are cut in Python, by the same rules
+UNKNOWN = 1e6  # cost of a character without a piece on a best path
+_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
-def units_of(text: str | None) -> list[str]:
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+class _Generations(dict):
+    """A cache of two generations: what was used lately stays, the rest goes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are not held; what the older generation holds of them comes into the younger one."""
+        new = keys.difference(self)
+        if self.old:
+            for x in [x for x in new if x in self.old]:
+                self[x] = self.old[x]
+                new.discard(x)
+        return new
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def fresh(self, keys: set) -> set:
+        """Those of ``keys`` that were not met lately; now they were."""
+        self.turn()
+        new = self.missing(keys)
+        self.update(dict.fromkeys(new))
+        return new
+
+
+def units_of(text: str | None, cut: re.Pattern) -> list[str]:
+    return cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def unit_pattern(names: list[str]) -> re.Pattern:
+    """How texts are cut for the pieces ``names``: no piece holds characters of two units.
+
+    Classes are the connected characters of the graph of neighbours within pieces; a character of a class of its own
+    is a unit of its own. Blanks go with what follows them. Pieces with a blank after another character are refused.
+    """
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for name in names:
+        for a, b in zip(name, name[1:], strict=False):
+            if b == SPACE and a != SPACE:
+                raise ValueError(f"piece {name!r} crosses words")
+            if a != SPACE:
+                parent[root(a)] = root(b)
+    classes: dict[str, list[str]] = {}
+    for x in sorted(parent):
+        classes.setdefault(root(x), []).append(x)
+    runs = [f"[{''.join(map(re.escape, c))}]+" for c in sorted(classes.values(), key=lambda c: (-len(c), c))]
+    return re.compile(f"{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+")
+
+
+def piece_names(model: str) -> list[str]:
+    """Pieces that texts can match: neither bytes nor control pieces."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=model)
+    return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -47,76 +114,165 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, kind string")
 
 
-def lattice(units: DataFrame, table: DataFrame) -> DataFrame:
-    """unit, edges ARRAY<STRUCT<cost, s, e, id>> sorted by cost and place: all pieces in each distinct unit.
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            x |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return x
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + n]
+            at += n
+
+
+def read_model_type(model: str) -> str:
+    """unigram or bpe, from the training settings in a model file; other kinds are refused."""
+    with open(model, "rb") as f:
+        settings = [v for k, v in _fields(f.read()) if k == 2]
+    number = next((v for s in settings for k, v in _fields(s) if k == 3), 1)
+    if number not in (1, 2):
+        raise ValueError("only unigram and BPE models are supported")
+    return ("unigram", "bpe")[number - 1]
+
+
+_ID = (1 << 22) - 1  # an edge's id field: an id below 2 ** 21, or 2 ** 21 and the code point of a character without a piece
+
+
+def _right(c: Column, n: int) -> Column:
+    return F.call_function("shiftrightunsigned", c, F.lit(n))
+
+
+def _bit(c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), c.cast("int"))
+
+
+def _start(k: Column) -> Column:
+    return _right(k, 28).bitwiseAND(F.lit(63))
 
-    Units must be distinct; partitioned by unit as well, nothing is shuffled: the piece table is bounded and broadcast. Units without
-    any edge stay, with an empty array.
+
+def _end(k: Column) -> Column:
+    return _start(k) + _right(k, 22).bitwiseAND(F.lit(63))
+
+
+def lattice(units: DataFrame, table: DataFrame, costs: bool = False) -> DataFrame:
+    """unit, edges ARRAY<STRUCT<k, ends, inner>> (and cost, if asked for) in order of k: all pieces in each distinct unit.
+
+    k holds from its highest bits on the rank of an edge's cost, its start, its length and its id; ends and inner have the bits of
+    its two boundaries and of those between them. Units must be distinct and of 1 to LONG characters; partitioned by unit as well, nothing is shuffled: the piece table is bounded and broadcast. Substrings meet
+    it by a 64-bit hash, which makes the join a look-up of numbers, and are then compared as they are.
     """
     usable = table.where("kind = 'piece'")
-    longest = usable.agg(F.max(F.length("piece"))).first()[0] or 1
-    n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("len"))
-    subs = subs.select("unit", "s", (F.col("s") + F.col("len")).alias("e"), F.substring(F.col("unit"), F.col("s") + 1, F.col("len")).alias("piece"))
-    found = subs.join(F.broadcast(usable.select("piece", "id", (-F.col("score")).alias("cost"))), "piece", "left")
-    found = found.where("id IS NOT NULL OR (s = 0 AND e = 1)")  # a unit without pieces keeps one row
-    edge = F.when(F.col("id").isNotNull(), F.struct("cost", "s", "e", "id"))
-    return found.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))  # at most LONG * longest edges
+    longest = min(LONG, usable.agg(F.max(F.length("piece"))).first()[0] or 1)
+    held = usable.select(F.col("piece").alias("p"), F.xxhash64("piece").alias("h"), F.col("id").alias("pid"), (-F.col("score")).alias("cost"), F.dense_rank().over(Window.orderBy(F.desc("score"))).alias("rank"))  # the piece table: bounded
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("len"))
+    subs = subs.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("len")))
+    same = (F.xxhash64("piece") == F.col("h")) & F.startswith("piece", "p") & F.startswith("p", "piece")
+    found = subs.join(F.broadcast(held), same, "left").where("pid IS NOT NULL OR len = 1")
+    name = F.coalesce(F.col("pid"), F.ascii("piece") + F.lit(1 << 21)).cast("long")
+    k = F.coalesce("rank", F.lit(0)).cast("long") * (1 << 34) + F.col("s").cast("long") * (1 << 28) + F.col("len").cast("long") * (1 << 22) + name
+    low, high = _bit(F.col("s")), _bit(F.col("s") + F.col("len"))
+    edge = F.struct(k.alias("k"), (low + high).alias("ends"), (high - low - low).alias("inner"), *([F.coalesce("cost", F.lit(UNKNOWN)).alias("cost")] if costs else []))
+    return found.select("unit", edge.alias("x")).groupBy("unit").agg(F.sort_array(F.collect_list("x")).alias("edges"))  # at most LONG * longest edges
 
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Boundaries of the symbols after all merges, cheapest first, leftmost first."""
+    """Boundaries (bits) of the symbols after all merges, cheapest first, leftmost first."""
 
     def step(acc: Column, x: Column) -> Column:
-        inside = F.size(F.filter(acc, lambda b: (b > x["s"]) & (b < x["e"])))
-        ok = (inside == 1) & F.array_contains(acc, x["s"]) & F.array_contains(acc, x["e"])
-        return F.when(ok, F.filter(acc, lambda b: (b <= x["s"]) | (b >= x["e"]))).otherwise(acc)
+        inside = acc.bitwiseAND(x["inner"])
+        one = (inside != 0) & (inside.bitwiseAND(inside - 1) == 0)
+        return F.when(one & (acc.bitwiseAND(x["ends"]) == x["ends"]), acc - inside).otherwise(acc)
 
-    return F.aggregate(F.filter(edges, lambda x: x["e"] - x["s"] > 1), F.sequence(F.lit(0), n), step)
+    all_places = F.call_function("shiftrightunsigned", F.lit((1 << 63) - 1), (62 - n).cast("int"))  # bits 0 to n
+    return F.aggregate(F.filter(edges, lambda x: x["inner"] != 0), all_places, step)
 
 
-def viterbi_fold(edges: Column, n: Column, unknown: float = 1e6) -> Column:
-    """Boundaries of the path of least cost; a character without a piece costs ``unknown``. Ties: the longer last piece.
+def viterbi_fold(edges: Column, n: Column) -> Column:
+    """Boundaries (bits) of the path of least cost over edges with costs. Ties: the longer last piece.
 
-    The state holds for each place so far its least cost and the boundaries of its path.
+    The state holds for each place so far its least cost and the boundaries of its path. Each place is reached, if only by
+    the edge of its last character.
     """
-    zero = F.struct(F.lit(0.0).alias("c"), F.array(F.lit(0)).alias("b"))
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(1).cast("long").alias("b"))
 
     def step(acc: Column, j: Column) -> Column:
-        options = F.transform(F.filter(edges, lambda x: x["e"] == j), lambda x: F.struct((F.element_at(acc, x["s"] + 1)["c"] + x["cost"]).alias("c"), x["s"].alias("s")))
-        bare = F.array(F.struct((F.element_at(acc, j)["c"] + F.lit(unknown)).alias("c"), (j - 1).alias("s")))
-        best = F.array_min(F.concat(options, bare))
-        return F.concat(acc, F.array(F.struct(best["c"].alias("c"), F.concat(F.element_at(acc, best["s"] + 1)["b"], F.array(j)).alias("b"))))
+        options = F.transform(F.filter(edges, lambda x: _end(x["k"]) == j), lambda x: F.struct((F.element_at(acc, (_start(x["k"]) + 1).cast("int"))["c"] + x["cost"]).alias("c"), _start(x["k"]).alias("s")))
+        best = F.array(F.array_min(options))
+        return F.concat(acc, F.transform(best, lambda y: F.struct(y["c"].alias("c"), F.element_at(acc, (y["s"] + 1).cast("int"))["b"].bitwiseOR(_bit(j)).alias("b"))))
 
-    state = "array<struct<c:double,b:array<int>>>"
+    state = "array<struct<c:double,b:bigint>>"
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), F.array(zero).cast(state), step), -1)["b"]
 
 
+def _utf8(code: Column) -> Column:
+    """The bytes of a code point, as an array of numbers."""
+    top = lambda k: F.call_function("shiftright", code, F.lit(6 * k))
+    tail = lambda k: top(k).bitwiseAND(F.lit(63)) + 128
+    return F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(top(1) + 0xC0, tail(0))).when(code < 0x10000, F.array(top(2) + 0xE0, tail(1), tail(0))).otherwise(F.array(top(3) + 0xF0, tail(2), tail(1), tail(0)))
+
+
 def encode_units(units: DataFrame, table: DataFrame, model_type: str = "bpe") -> DataFrame:
     """unit, ids of each distinct unit of ``units`` (unit); units without characters must not come."""
-    short = lattice(units.where(F.length("unit") <= LONG), table)
-    n = F.length("unit")
-    fold = viterbi_fold if model_type == "unigram" else merge_fold
-    cut = short.select("unit", "edges", fold(F.col("edges"), n).alias("b"))
+    costs = model_type == "unigram"
+    cost = {r["piece"]: (-r["score"], r["id"]) for r in table.where("kind = 'piece'").collect()}  # the piece table: bounded
+    apart = F.length("unit") > LONG
+    if not costs and (late := late_pieces(cost)):
+        apart |= F.exists(F.array(*map(F.lit, late)), lambda p: F.contains(F.col("unit"), p))
+    short = lattice(units.where(~apart), table, costs)
     byte_ids = {int(r["piece"][3:5], 16): r["id"] for r in table.where("kind = 'byte'").collect()}  # 256 rows
     unk = (table.where("kind = 'control'").orderBy("id").first() or {"id": 0})["id"]
     known = F.array(*(F.lit(byte_ids.get(i, unk)) for i in range(256)))
-    span = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.struct(F.element_at("b", i).alias("s"), F.element_at("b", i + 1).alias("e")))
+
+    def path(places: Column) -> Column:
+        """Start and id of each edge on the path, from left to right."""
+
+        on = lambda x: places.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]  # noqa: E731  both ends and nothing between
+        return F.sort_array(F.transform(F.filter("edges", on), lambda x: _start(x["k"]) * (1 << 22) + x["k"].bitwiseAND(F.lit(_ID))))
+
+    fold = (viterbi_fold if costs else merge_fold)(F.col("edges"), F.length("unit"))
+    # places as a variable: as a column the fold would be taken into the filter, and run for each edge
+    found = F.element_at(F.transform(F.array(fold), path), 1)
+    done = short.select("unit", F.transform(found, lambda x: x.bitwiseAND(F.lit(_ID)).cast("int")).alias("path"))
 
     def ids(x: Column) -> Column:
-        hit = F.filter("edges", lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]))
-        raw = F.hex(F.encode(F.substring(F.col("unit"), x["s"] + 1, x["e"] - x["s"]), "UTF-8"))
-        one = F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), lambda k: F.element_at(known, F.conv(F.substring(raw, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(F.size(hit) > 0, F.array(F.element_at(hit, 1)["id"])).otherwise(one if byte_ids else F.array(F.lit(unk)))
+        some = F.transform(_utf8(x - (1 << 21)), lambda b: F.element_at(known, b + 1)) if byte_ids else F.array(F.lit(unk))
+        return F.when(x >= 1 << 21, some).otherwise(F.array(x))
+
+    done = done.select("unit", F.when(F.exists("path", lambda x: x >= 1 << 21), F.flatten(F.transform("path", ids))).otherwise(F.col("path")).alias("ids"))
+    by = viterbi_path if costs else heap_merge
+    return done.unionByName(_cut_in_python(units.where(apart), cost, byte_ids, unk, by))
+
 
-    done = cut.select("unit", F.flatten(F.transform(span, ids)).alias("ids"))
-    by = viterbi_path if model_type == "unigram" else heap_merge
-    return done.unionByName(_long_units(units.where(F.length("unit") > LONG), table, byte_ids, unk, by))
+def late_pieces(cost: dict[str, tuple[float, int]]) -> list[str]:
+    """Pieces that merges of strictly cheaper pieces do not lead to.
+
+    Up to a merge the part of a text between its ends evolves as if it were alone. So any other piece is there, if it ever is, when
+    its turn comes in order of cost.
+    """
+    late = []
+    for p, c in cost.items():
+        if len(p) > 1:
+            inner = (p[i:j] for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+            if heap_merge(p, {x: cost[x] for x in inner if x == p or (x in cost and cost[x][0] < c[0])}) != [p]:
+                late.append(p)
+    return late
 
 
 def heap_merge(unit: str, cost: dict[str, tuple[float, int]]) -> list[str]:
-    """The same merges with a heap, for long units: n log n."""
+    """The symbols after all merges, with a heap: n log n."""
     part, nxt, prev = list(unit), list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
     heap: list[tuple[float, int, int, str]] = []
 
@@ -139,7 +295,7 @@ def heap_merge(unit: str, cost: dict[str, tuple[float, int]]) -> list[str]:
     return [p for p in part if p]
 
 
-def viterbi_path(unit: str, cost: dict[str, tuple[float, int]], unknown: float = 1e6) -> list[str]:
+def viterbi_path(unit: str, cost: dict[str, tuple[float, int]], unknown: float = UNKNOWN) -> list[str]:
     """The path of ``viterbi_fold``, for long units: the same costs, order of additions and ties."""
     longest = max(map(len, cost), default=1)
     least, back = [0.0], [0]
@@ -156,9 +312,7 @@ def viterbi_path(unit: str, cost: dict[str, tuple[float, int]], unknown: float =
     return out[::-1]
 
 
-def _long_units(units: DataFrame, table: DataFrame, byte_ids: dict[int, int], unk: int, cut: Callable[[str, dict[str, tuple[float, int]]], list[str]]) -> DataFrame:
-    cost = {r["piece"]: (-r["score"], r["id"]) for r in table.where("kind = 'piece'").collect()}  # the piece table: bounded
-
+def _cut_in_python(units: DataFrame, cost: dict[str, tuple[float, int]], byte_ids: dict[int, int], unk: int, cut: Callable[[str, dict[str, tuple[float, int]]], list[str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -172,16 +326,17 @@ def _long_units(units: DataFrame, table: DataFrame, byte_ids: dict[int, int], un
     return units.mapInArrow(run, "unit string, ids array<int>")
 
 
-def distinct_units(docs: DataFrame) -> DataFrame:
+def distinct_units(docs: DataFrame, cut: re.Pattern) -> DataFrame:
     """Each unit of all texts once, partitioned by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Generations(200_000)  # units that were sent lately
         for b in pieces(batches):
             seen: set[str] = set()
             for t in b.column("text").to_pylist():
-                seen.update(units_of(t))
-            if seen:
-                yield pa.record_batch([pa.array(list(seen), pa.string())], ["unit"])
+                seen.update(units_of(t, cut))
+            if new := met.fresh(seen):
+                yield pa.record_batch([pa.array(list(new), pa.string())], ["unit"])
 
     return docs.select("text").mapInArrow(run, "unit string").distinct()
 
@@ -213,95 +368,118 @@ def write_dictionary(words: DataFrame, path: str, shards: int) -> None:
 
 
 class Dictionary:
-    """Ids of units from the files of ``write_dictionary``."""
+    """Ids of texts, from the files of ``write_dictionary`` for their units."""
 
-    def __init__(self, path: str, shards: int):
-        self.path, self.shards, self.open, self.cache = path, shards, {}, _Generations(200_000)
+    def __init__(self, path: str, shards: int, cut: re.Pattern):
+        self.path, self.shards, self.cut, self.open = path, shards, cut, {}
+        self.units = Learned(300_000, self.learn)
 
-    def shard(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shard(self, i: int) -> tuple[np.ndarray, memoryview, memoryview]:
+        """Hashes, offsets, and the bytes of the ids."""
         if i not in self.open:
             p = local_path(self.path)
             parts = []
-            for e, t in (("h", "<i8"), ("o", "<i8"), ("i", "<u4")):
+            for e, t in (("h", "<i8"), ("o", "<i8"), ("i", "u1")):
                 if p is not None:
-                    parts.append(np.memmap(f"{p}/{i}.{e}", t, "r"))
+                    parts.append(np.memmap(f"{p}/{i}.{e}", t, "r").view(np.ndarray))
                 else:
                     fs, folder = open_fs(self.path)
                     parts.append(np.frombuffer(fs.open_input_file(f"{folder}/{i}.{e}").read(), t))
-            self.open[i] = tuple(parts)
+            self.open[i] = parts[0], memoryview(parts[1]), memoryview(parts[2])
         return self.open[i]
 
-    def learn(self, units: list[str]) -> None:
-        import xxhash
-
-        h = np.array([xxhash.xxh64_intdigest(u.encode(), 42) for u in units], np.uint64).view(np.int64)
-        of = h % self.shards
-        for i in np.unique(of):
-            keys, offsets, ids = self.shard(int(i))
-            who = np.flatnonzero(of == i)
-            at = np.searchsorted(keys, h[who])
-            if (keys[at] != h[who]).any():
-                raise KeyError("a unit is missing from the dictionary")
-            for w, a, b in zip(who.tolist(), offsets[at].tolist(), offsets[at + 1].tolist(), strict=True):
-                self.cache[units[w]] = ids[a:b].tobytes()
+    def learn(self, unit: str) -> bytes:
+        h = xxh64_intdigest(unit.encode(), 42)
+        h -= (h >> 63) << 64
+        keys, offsets, ids = self.shard(h % self.shards)
+        at = int(keys.searchsorted(h))
+        if at == len(keys) or keys[at] != h:
+            raise KeyError(f"unit {unit!r} is missing from the dictionary")
+        return bytes(ids[4 * offsets[at] : 4 * offsets[at + 1]])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [units_of(t) for t in texts]
-        self.cache.turn()
-        missing = {u for x in cut for u in set(x) if not self.cache.known(u)}
-        if missing:
-            self.learn(list(missing))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        get = self.units.__getitem__
+        return [b"".join(map(get, units_of(t, self.cut))) for t in texts]
+
 
+@contextmanager
+def _many_groups(spark: SparkSession, groups: int):
+    """A task groups up to so many units in memory before it sorts them."""
+    before = spark.conf.get(_GROUPS)
+    spark.conf.set(_GROUPS, str(groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(_GROUPS, before)
 
-def encode(docs: DataFrame, model: str, with_ids: bool = False, model_type: str = "bpe") -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (unsigned 32-bit ids) and, if asked for, the ids of each row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no ids. Rows are independent, so repeated ones repeat; an empty table gives an empty result.
+def encode(docs: DataFrame, model: str, with_ids: bool = False, with_text: bool = False, model_type: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (unsigned 32-bit ids) and, if asked for, the ids and the text that these decode to, of each row of ``docs`` (doc_id, text).
+
+    model_type: unigram or bpe, by default what the model file says. Null and empty texts have no ids. Rows are independent,
+    so repeated ones repeat; rows without doc_id are encoded too; an empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    table = piece_table(spark, model)
+    table, cut = piece_table(spark, model), unit_pattern(piece_names(model))
     shards = max(8, size_bytes(docs) // (64 << 20))
     path = shared_dir(spark) + "-units"
-    units = save(distinct_units(docs)).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    write_dictionary(save(encode_units(units, table, model_type)), path, shards)
-    return _encode_texts(docs, path, shards, with_ids)
+    units = save(distinct_units(docs, cut))
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size_bytes(units) // (512 << 10))
+    with _many_groups(spark, 50_000):
+        write_dictionary(encode_units(units.repartition(n, "unit"), table, model_type or read_model_type(model)), path, shards)
+    return _encode_texts(docs, path, shards, cut, with_ids, spelling(table) if with_text else None)
 
 
-def _encode_texts(docs: DataFrame, path: str, shards: int, with_ids: bool) -> DataFrame:
+def _encode_texts(docs: DataFrame, path: str, shards: int, cut: re.Pattern, with_ids: bool, spells: dict[int, bytes] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        if path not in cache:
-            cache[path] = Dictionary(path, shards)
+        if "pieces" not in cache or cache["pieces"].path != path:  # a worker holds one dictionary, that of the latest run
+            cache["pieces"] = Dictionary(path, shards, cut)
+        known = cache["pieces"]
         for b in pieces(batches):
-            ids = cache[path].encode(b.column("text").to_pylist())
+            ids = known.encode(b.column("text").to_pylist())
             cols = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([crc32(x) for x in ids], pa.int64())]
             if with_ids:
-                cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-            yield pa.record_batch(cols, ["doc_id", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+                offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            if spells:
+                cols.append(pa.array([spell(np.frombuffer(x, "<i4").tolist(), spells) for x in ids], pa.string()))
+            yield pa.record_batch(cols, ["doc_id", "n_tokens", "ids_crc32", *["ids"] * with_ids, *["text"] * bool(spells)])
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    if spells:
+        schema = schema.add("text", "string")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text from ``rows`` (key, ids), keys unique: ids are exploded, equi-joined to the piece table and put together again in order.
+def spelling(table: DataFrame) -> dict[int, bytes]:
+    """The bytes that each id stands for; none for control pieces."""
+    one = lambda r: bytes([int(r["piece"][3:5], 16)]) if r["kind"] == "byte" else b"" if r["kind"] == "control" else r["piece"].replace(SPACE, " ").encode()
+    return {r["id"]: one(r) for r in table.collect()}  # the piece table: bounded
+
+
+def spell(ids: list[int], spells: dict[int, bytes]) -> str:
+    """The text of ids: broken UTF-8 becomes U+FFFD, and the leading blank goes."""
+    t = b"".join(map(spells.__getitem__, ids))
+    return (t[1:] if t.startswith(b" ") else t).decode("utf-8", "replace")
 
-    Byte pieces give their bytes (broken UTF-8 as U+FFFD), control pieces nothing; the leading blank goes. No or null ids give ''.
+
+def decode(rows: DataFrame, model: str) -> DataFrame:
+    """The columns of ``rows`` but ids and text, then text: what the ids of each row spell.
+
+    Byte pieces give their bytes, control pieces nothing. No or null ids give ''. Nothing is shuffled: the piece table is
+    bounded and goes to the workers.
     """
-    raw = F.when(F.col("kind") == "byte", F.unhex(F.substring("piece", 4, 2))).when(F.col("kind") == "control", F.lit(b"")).otherwise(F.encode("piece", "UTF-8"))
-    one = rows.select(key, F.posexplode("ids").alias("p", "id")).join(F.broadcast(table.select("id", raw.alias("raw"))), "id")
-    text = F.aggregate(F.array_sort(F.collect_list(F.struct("p", "raw"))), F.lit(b""), lambda a, x: F.concat(a, x["raw"]))
-    got = one.groupBy(key).agg(text.alias("b"))
+    ship(rows.sparkSession)
+    keep = [c for c in rows.columns if c not in ("ids", "text")]
+    spells = spelling(piece_table(rows.sparkSession, model))
 
-    def to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = [(x or b"").decode("utf-8", "replace").replace(SPACE, " ") for x in b.column("b").to_pylist()]
-            yield pa.record_batch([b.column(key), pa.array([x[1:] if x.startswith(" ") else x for x in t], pa.string())], [key, "text"])
+            texts = [spell(x.values.to_pylist() if x.is_valid else [], spells) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    schema = T.StructType([rows.schema[key]]).add("text", "string")
-    return rows.select(key).join(got, key, "left").mapInArrow(to_text, schema)
+    return rows.select(*keep, "ids").mapInArrow(run, T.StructType([rows.schema[c] for c in keep]).add("text", "string"))

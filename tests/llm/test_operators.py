@@ -77,6 +77,40 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_near_dedup(df.where("vec_id < 0")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_embedding_dedup_labels_of_any_type(spark, kind):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("label", F.col("label").cast(kind))
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_near_dedup(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_embedding_dedup_in_many_tiles(spark):
+    """Many small tiles, a crowd of equal vectors and a common direction, against all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=12) * 3
+    x = np.array([base + rng.normal(size=12) for _ in range(400)] + [base + 1] * 300)
+    x[50:200] = x[rng.integers(0, 50, 150)] + rng.normal(size=(150, 12)) * 0.12
+    label = [int(i % 7 == 0) for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.embedding_near_dedup(df, 0.98, tile=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (np.array(label)[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    comp = closure(range(len(x)), list(zip(*np.nonzero(link), strict=True)))
+    assert got == {i: (int(link[i].sum()), comp[i], comp[i] == i) for i in range(len(x))}
+
+
+def test_near_tiles_leave_far_ones_out(spark):
+    rng = np.random.default_rng(3)
+    boxes = [(str(i % 2), i, sorted_lo.tolist(), (sorted_lo + rng.random(4) * 0.1).tolist()) for i, sorted_lo in enumerate(rng.random((60, 4)) - 0.5)]
+    df = spark.createDataFrame(boxes, "grp string, tile long, lo array<double>, hi array<double>")
+    got = {tuple(r) for r in embedding_dedup.near_tiles(df, 0.98).collect()}
+    gap = np.sqrt(0.04) + 1e-6
+    away = lambda a, b: np.sqrt(sum(max(0, l1 - h2, l2 - h1) ** 2 for l1, h1, l2, h2 in zip(a[2], a[3], b[2], b[3], strict=True)))
+    assert got == {(a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] <= b[1] and away(a, b) <= gap}
+    assert 60 < len(got) < 900
+
+
 def test_tiles_find_all():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12)) * np.linspace(3, 0.1, 12)
@@ -150,6 +184,10 @@ def test_packing(spark, docs, no_docs):
         assert s[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:], strict=False)) and s[-1][0] + s[-1][1] <= 512
     total = sum(r["length"] for r in got)
     assert len(by) <= -(-total // 512) + 2
+    clash = packing.pack(cut.withColumnsRenamed({"ids": "before"}).withColumn("salt", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("n", F.lit(2)).withColumn("c0", F.lit(3)), 512, group=20)
+    assert clash.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "before", "salt", "rank", "n", "c0", "sequence_id", "offset"]
+    assert clash.select("salt", "rank", "n", "c0").distinct().collect() == [(1, "x", 2, 3)]
+    assert sorted(tuple(r)[:5] for r in clash.collect()) == sorted(want)
     whole = packing.sequences(packing.pack(cut, 512)).agg(F.sum("n_tokens"), F.sum(F.length("ids"))).first()
     assert tuple(whole) == (total, 4 * total)
     assert packing.pack(packing.cut_pieces(no_docs, tokenizer_path("byte_bpe_50k.json"))).collect() == []
@@ -206,6 +244,31 @@ def test_quality(spark, docs, no_docs):
     assert quality.classify(no_docs, labels).collect() == []
 
 
+def test_importance_weights_match_brute_force(spark, docs):
+    """Counts of hashed words, pairs and word ends, log ratios and weights, one n-gram at a time."""
+    bits = 10
+
+    def grams(text):
+        w = [x.lower() for x in (text or "").encode().split()]
+        one = [common.words_of(pa.record_batch({"text": pa.array([x.decode()])})) for x in w]
+        h = [x.hashes()[0] for x in one]
+        with np.errstate(over="ignore"):
+            keys = [common.fmix(x) for x in h] + [common.fmix(a * common._GOLD + b) for a, b in zip(h, h[1:], strict=False)] + [common.fmix(x.suffix_hashes(3)[0] ^ common._GOLD) for x in one]
+        return [int(k >> np.uint64(64 - bits)) for k in keys]
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    raw, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i % 2 for g in grams(t))
+    count = lambda c: np.array([c[i] for i in range(1 << bits)], float)
+    assert (quality.bucket_counts(docs, bits) == count(raw)).all()
+    table = quality.log_ratio(count(target), count(raw))
+    q = (count(raw) + 0.01) / (count(raw) + 0.01).sum()
+    extra = min(1 << bits, max(1, sum(target.values())))
+    assert table == pytest.approx([np.log((target[i] + extra * q[i]) / (sum(target.values()) + extra) / q[i]) for i in range(1 << bits)])
+    got = {r["doc_id"]: (r["log_weight"], r["n_grams"]) for r in quality.weights(docs, table, bits).collect()}
+    for i, t in rows:
+        assert got[i][1] == len(grams(t)) and got[i][0] == pytest.approx(sum(table[g] for g in grams(t)), abs=1e-9)
+
+
 # ---- 4 ----
 def shingle_set(text, k=5):
     w = (text or "").encode().lower().split()
@@ -231,6 +294,41 @@ def test_minhash_two_texts_of_a_doc_id(spark):
     assert sorted(tuple(r) for r in got) == [(1, 56, 1, True), (5, 57, 1, False), (10, 56, 1, False), (10, 56, 1, False), (20, 56, 1, False), (30, 3, 30, True)]
 
 
+def test_minhash_crowded_bucket(spark):
+    """Many near copies of several bases in shared buckets, long texts among them, in small tiles; a row without doc_id."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(0, 90))] = f"x{rng.integers(0, 9)}"
+        rows.append((i * 2, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"long{j}" for j in range(3000 + i))) for i in range(4)] + [(500 + i, rows[i % 3][1]) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.minhash_near_dedup(df, 5, 85, tile=4).collect()}
+    assert got.pop(None)[1:] == (None, False)
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    comp = closure(sets, links)
+    assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
+
+
+def test_copies_are_confirmed(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "COPIES", 3)
+    text = [" ".join(f"{c}{i}" for i in range(20)) for c in "ab"]
+    docs = spark.createDataFrame([(i, text[i % 2]) for i in range(30)], "doc_id long, text string")
+    sk = minhash_dedup.sketch(docs)
+    members = sk.withColumn("size", F.lit(15).cast("long"))
+    links = [tuple(r) for r in minhash_dedup.confirmed_copies(docs, members, 5).collect()]
+    assert closure(range(30), links) == {i: i % 2 for i in range(30)}
+    one = members.first()
+    wrong = members.select("doc_id", F.lit(one["f1"]).alias("f1"), F.lit(one["f2"]).alias("f2"), "n_shingles", "size")
+    monkeypatch.setattr(minhash_dedup, "set_names", lambda g, first: np.full((2, len(first) - 1), [[one["f1"]], [one["f2"]]]))
+    with pytest.raises(Exception, match="different sets of one name"):
+        minhash_dedup.confirmed_copies(docs, wrong, 5).collect()
+
+
 def test_estimate():
     rng = np.random.default_rng(3)
     core = rng.integers(0, 2**63, 850, np.uint64)
@@ -260,6 +358,44 @@ def test_toxicity(spark, docs, no_docs):
     assert toxicity.score(df, nothing).agg(F.max("toxic_score")).first()[0] < 0.5
 
 
+def test_risk_and_its_slopes():
+    rng = np.random.default_rng(4)
+    zp, zu, prior = rng.normal(size=7), rng.normal(size=11), 0.2
+    loss = lambda z, y: float(np.mean([np.log(1 + np.exp(-y * x)) for x in z]))
+    assert toxicity.risk(zp, zu, prior) == pytest.approx((prior * loss(zp, 1), loss(zu, -1) - prior * loss(zp, -1)))
+    for shift in (0.0, -6.0):  # with very low logits of unlabelled texts the second part is negative, and is climbed
+        low = zu + shift
+        a, b = toxicity.risk(zp, low, prior)
+        assert (b < 0) == (shift < 0)
+        f = (lambda p, u: -toxicity.risk(p, u, prior)[1]) if b < 0 else (lambda p, u: sum(toxicity.risk(p, u, prior)))
+        step = 1e-6
+        for z, got, which in ((zp, toxicity.slopes(zp, low, prior)[0], 0), (low, toxicity.slopes(zp, low, prior)[1], 1)):
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i], down[i] = up[i] + step, down[i] - step
+                d = (f(up, low) - f(down, low)) if which == 0 else (f(zp, up) - f(zp, down))
+                assert got[i] == pytest.approx(d / (2 * step), abs=1e-6)
+
+
+def test_toxic_scores_match_brute_force(spark, docs):
+    rng = np.random.default_rng(1)
+    model = rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.3
+    for r in toxicity.score(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        seen = set()
+        for w in (r["text"] or "").encode().split():
+            one = common.words_of(pa.record_batch({"text": pa.array([w.decode()])}), lower=True)
+            for h in (one.hashes(), *(one.hashes(p) for p in toxicity.PREFIXES)):
+                seen.add(int(common.fmix(h)[0] >> np.uint64(64 - toxicity.BITS)))
+        z = sum(float(model[0][i]) for i in seen) + model[1]
+        assert r["toxic_score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-6)
+
+
+def test_fit_is_bounded(spark):
+    same = spark.createDataFrame([(5, f"a{i} b c d e f g h") for i in range(50)], "h long, text string")
+    assert len(toxicity.collect_features(same, 8)) == 8
+    assert [len(x) for x in toxicity.collect_features(same, 2, longest=3)] == [3, 3]
+
+
 # ---- 6 ----
 def test_language_id(spark, docs, no_docs):
     rng = np.random.default_rng(1)
@@ -278,6 +414,59 @@ def test_language_id(spark, docs, no_docs):
     assert language_id.identify(no_docs, proto).collect() == [] and language_id.fit_prototypes(no_docs) == {}
 
 
+def naive_vector(text, dim=64):
+    """Trigrams one by one, over letters and single gaps."""
+    v = {}
+    get = lambda c: v.setdefault(c, language_id.letter_vector(c, dim).astype(int))
+    s = [0]
+    for ch in text or "":
+        c = language_id.lower_letter(ch)
+        if c or s[-1]:
+            s.append(c)
+    s += [0] * (s[-1] != 0)
+    out = np.zeros(dim)
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        out += np.roll(get(a), 2) * np.roll(get(b), 1) * get(c)
+    return out / np.linalg.norm(out) if out.any() else None
+
+
+@given(st.text(alphabet=st.one_of(st.sampled_from("aBzéÉßþÿ  .1жΩ日𝒜"), st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs"])), max_size=40))
+@settings(max_examples=80, deadline=None)
+def test_document_vector_matches_brute_force(text):
+    got, want = language_id.document_vector(text, 64), naive_vector(text)
+    if want is None:
+        assert got is None or not got.any()
+    else:
+        assert np.abs(got - want).max() < 1e-5
+
+
+def test_language_id_matches_brute_force(spark, docs):
+    train = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect() if r["text"] and r["lang"]]
+    proto = language_id.fit_prototypes(docs.select("doc_id", "text", "lang"), 64)
+    want = {}
+    for _, t, lang in train:
+        if (v := naive_vector(t)) is not None:
+            want[lang] = want.get(lang, 0) + v
+    want = {x: v / np.linalg.norm(v) for x, v in want.items()}
+    assert sorted(want) == list(proto) and all(np.abs(want[x] - proto[x]).max() < 1e-5 for x in want)
+    for r in language_id.identify(docs, proto, 64).collect():
+        v = naive_vector(r["text"])
+        c = {x: float(want[x] @ v) for x in sorted(want)} if v is not None else {}
+        assert (r["lang_pred"] == "und") == (not c)
+        assert not c or (c[r["lang_pred"]] >= max(c.values()) - 1e-5 and r["score"] == pytest.approx(min(1, max(0, c[r["lang_pred"]])), abs=1e-5))
+
+
+def test_other_scripts(spark):
+    words = {"ru": "быстрая коричневая лиса прыгает через ленивую собаку", "uk": "швидка бура лисиця стрибає через ледачого пса їжак", "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "ja": "素早い茶色の狐がのろまな犬を飛び越える"}
+    words = {x: " ".join([w] * 3) for x, w in words.items()}
+    rng = np.random.default_rng(1)
+    say = lambda x: " ".join(rng.choice(words[x].split(), 9))
+    rows = [(i, say(x := list(words)[i % 4]), x) for i in range(120)]
+    proto = language_id.fit_prototypes(spark.createDataFrame(rows[:80], "doc_id long, text string, lang string"))
+    got = language_id.identify(spark.createDataFrame(rows[80:], "doc_id long, text string, lang string"), proto).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 39
+
+
 # ---- 7 ----
 def test_sentencepiece(spark, docs, no_docs):
     import sentencepiece
@@ -287,17 +476,48 @@ def test_sentencepiece(spark, docs, no_docs):
     small = docs.where("length(text) < 700 or text is null")
     extra = spark.createDataFrame([(-1, "  a  b "), (-2, "日本語x😀 \n\t é"), (-3, "ab" * 400), (-4, "▁x ▁"), (-5, " "), (-6, "x" * 300)], "doc_id long, text string")
     df = small.select("doc_id", "text").distinct().unionAll(extra)
-    enc = common.save(sentencepiece_lattice.encode(df, model, with_ids=True))
+    enc = common.save(sentencepiece_lattice.encode(df, model, with_ids=True, with_text=True))
     texts = plain(df)
     got = {r["doc_id"]: r for r in enc.collect()}
     for i, t in texts.items():
         ids = sp.encode(t or "")
         assert (got[i]["ids"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (ids, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     back = {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decode(enc, model).collect()}
-    assert back == {i: sp.decode(r["ids"]) for i, r in got.items()}
+    assert back == {i: sp.decode(r["ids"]) for i, r in got.items()} == {i: r["text"] for i, r in got.items()}
+    rows = spark.createDataFrame([(1, None, "t", 5), (2, [], None, 6)], "k int, ids array<int>, text string, piece int")
+    assert sorted(tuple(r) for r in sentencepiece_lattice.decode(rows, model).collect()) == [(1, 5, ""), (2, 6, "")]
     assert sentencepiece_lattice.encode(no_docs, model).collect() == []
 
 
+def test_units_and_model_type():
+    model = tokenizer_path("piece_bpe_32k.model")
+    assert sentencepiece_lattice.read_model_type(model) == "bpe"
+    cut = sentencepiece_lattice.unit_pattern(["ab", "bc", "▁a", "..", "▁▁", "d"])
+    assert sentencepiece_lattice.units_of("abcab..d1 a  \nx", cut) == ["▁abcab", "..", "d", "1", "▁a", "▁▁\n", "x"]
+    assert "".join(sentencepiece_lattice.units_of(" Aé日 \t", cut)) == "▁▁Aé日▁\t"
+    with pytest.raises(ValueError):
+        sentencepiece_lattice.unit_pattern(["a▁b"])
+
+
+def test_merge_fold_and_heap_agree(spark):
+    """Pieces made of earlier ones, with ties, and some whose parts come later: the fold over bits against merges with a heap."""
+    rng = np.random.default_rng(7)
+    cost = {"a": (0.0, 1), "b": (0.0, 2)}
+    for i in range(3, 70):
+        p = "".join(rng.choice([*cost, "c"], 2))
+        if len(p) < 9:
+            cost.setdefault(p, (float(i // 2), i))
+    late = sentencepiece_lattice.late_pieces(cost)
+    assert sentencepiece_lattice.late_pieces({"ab": (2.0, 1), "bc": (9.0, 2), "abc": (5.0, 3), "bcd": (3.0, 4), "xyz": (1.0, 5)}) == ["bcd", "xyz"]
+    assert 0 < len(late) < len(cost) / 2
+    table = spark.createDataFrame([(i, p, -c, "piece") for p, (c, i) in cost.items()] + [(0, "<unk>", 0.0, "control")], "id int, piece string, score double, kind string")
+    units = sorted({"".join(rng.choice(list("abc"), n)) for n in (1, 2, 3, 4, 5, 7, 9, 20, 61, 62) for _ in range(40)})
+    assert sum(not any(p in u for p in late) for u in units) > 100
+    got = {r["unit"]: r["ids"] for r in sentencepiece_lattice.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), table, "bpe").collect()}
+    for u in units:
+        assert got[u] == [cost[p][1] if p in cost else 0 for p in sentencepiece_lattice.heap_merge(u, cost)], u
+
+
 def test_viterbi_fold(spark):
     score = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.1, "aba": -4.4, "bb": -5.5}
     table = spark.createDataFrame([(i + 1, p, s, "piece") for i, (p, s) in enumerate(score.items())] + [(0, "<unk>", 0.0, "control")], "id int, piece string, score double, kind string")
@@ -365,6 +585,41 @@ def test_exact_top_k(spark):
     assert kdtree_search.exact_top_k(v.where("false"), v, 3).collect() == []
 
 
+def test_search_leaves_shards_out(spark):
+    """Clustered vectors in small shards: the same results as all products, and few pairs of query and shard searched."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-900, 900, (12, 6))
+    x = np.concatenate([c + rng.integers(-40, 40, (120, 6)) for c in centres] + [np.repeat(centres[:1], 200, 0)])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, x array<bigint>")
+    q = v.where("vec_id % 20 = 0")
+    got = sorted(tuple(r) for r in kdtree_search.exact_top_k(v, q, 5, shard=60, block=16).collect())
+    want = []
+    for i in range(0, len(x), 20):
+        s = sorted((-int(x[i] @ x[j]), j) for j in range(len(x)) if j != i)[:5]
+        want += [(i, k + 1, j, -n) for k, (n, j) in enumerate(s)]
+    assert got == sorted(want)
+    run = kdtree_search.Search(v, q, 6, len(x), q.count(), 5, 60, 16)
+    found, top = run.first()
+    shards = run.trees.count()
+    assert shards >= 20
+    assert run.rest(found, top).count() < 0.1 * shards * q.count()
+
+
+def test_tree_and_cells():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-99, 99, (1000, 3))
+    order, cuts, low, high = kdtree_search.build_tree(x, 64)
+    assert sorted(order.tolist()) == list(range(1000)) and len(low) == 2 * (len(cuts) - 1) - 1 == 31
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = x[order[a:b]]
+        assert (part.min(0) == low[15 + i]).all() and (part.max(0) == high[15 + i]).all()
+    assert all((low[i] == np.minimum(low[2 * i + 1], low[2 * i + 2])).all() for i in range(15))
+    axes, values = kdtree_search.split_space(x, 3)
+    counts = np.bincount(kdtree_search.cell_of(x, axes, values), minlength=8)
+    assert counts.sum() == 1000 and counts.min() > 80
+    assert (kdtree_search.cell_of(x, *kdtree_search.split_space(x, 0)) == 0).all()
+
+
 def test_products_stay_exact():
     big = np.array([[2**40, -(2**41)]])
     assert kdtree_search.product(big, big)[0, 0] == 2**63 - 1 and kdtree_search.product(big, -big)[0, 0] == -(2**63)
@@ -389,9 +644,9 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [13, 3])
-def test_substring_dedup(docs, window):
-    got = substring_dedup.remove_repeated(docs, window, with_text=True).collect()
+@pytest.mark.parametrize("window, fan", [(13, 12), (3, 3)])  # with 3 bits a shuffle, windows are dealt twice
+def test_substring_dedup(docs, window, fan):
+    got = substring_dedup.remove_repeated(docs, window, with_text=True, fan=fan).collect()
     want = brute_repeats(plain(docs), window)
     assert len(got) == docs.count()
     texts = plain(docs)
@@ -420,3 +675,34 @@ def test_settle_matches_brute_force():
     assert (keep == [doc[i] == low[h[i]] for i in range(200)]).all()
     assert set(hits.tolist()) == {int(doc[i]) for i in range(200) if doc[i] != low[h[i]]}
     assert len(owner) == (~keep).sum() and len(place) == len(grp)
+    got = {(o, p, g) for o, b, g, m in zip(*(x.tolist() for x in substring_dedup.needs(owner, place, grp)), strict=True) for p in substring_dedup.places_of(b, m)}
+    assert got == set(zip(owner.tolist(), place.tolist(), grp.tolist(), strict=True))
+
+
+def test_packed_windows_come_back():
+    rng = np.random.default_rng(1)
+    h, doc, at = rng.integers(0, 2**63, 500, np.uint64), np.sort(rng.integers(-9, 2**40, 500)), rng.integers(0, 2**20, 500)
+    rows = substring_dedup._pack((h >> np.uint64(60)).astype(np.int32), h, doc, at)
+    back = [substring_dedup._unpack(*r) for r in zip(rows["n"], rows["docs"], rows["at"], rows["h"], strict=True)]
+    want = sorted(zip((h & np.uint64(2**48 - 1)).tolist(), doc.tolist(), at.tolist(), strict=True))
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back, strict=True)), strict=True)) == want
+
+
+def test_automata_in_several_parts():
+    rng = np.random.default_rng(2)
+    words = [b"%d" % x for x in rng.integers(0, 6, 300)]
+    passages = [(i % 7, 64 * i, list(range(64 * i, 64 * i + 60)), words[4 * i : 4 * i + 64]) for i in range(20)]
+    text = [b"%d" % x for x in rng.integers(0, 6, 400)]
+    want = np.zeros(400, bool)
+    low = {}
+    for doc, _, places, w in passages:
+        for j in range(len(places)):
+            if len(k := tuple(w[j : j + 5])) == 5:
+                low[k] = min(doc, low.get(k, doc))
+    for p in range(396):
+        if low.get(tuple(text[p : p + 5]), 9) < 3:
+            want[p : p + 5] = True
+    for most in (10, 60_000):
+        automata = substring_dedup.build_automata(passages, 5, most)
+        assert (len(automata) > 5) == (most == 10)
+        assert (substring_dedup.covered(text, 3, automata, 5) == want).all()

@@ -93,6 +93,28 @@ def test_sequences_hold_every_document(stages):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_empty_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = save(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert docs.count() == 0
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_rows_without_ids_texts_or_languages(spark):
+    """Two rows without doc_id and one each without text, language or letters pass all stages that have no reason to reject them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = docs.where("lang = 'en' and length(text) between 600 and 5000").orderBy("doc_id").limit(3).collect()
+    rows = [(None, good[0]["text"], "en", "s", 5), (None, good[1]["text"], None, None, None), (900_001, None, "en", "s", 0), (900_002, good[2]["text"], None, "s", 5), (900_003, "12 34", "en", "s", 5)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = save(stage(spark, docs, "/root/testdata/sf0.001"))
+        counts.append((name, docs.where("doc_id is null").count(), docs.where("doc_id > 900000").count()))
+    assert [c[1] for c in counts[:4]] == [2] * 4 and counts[4][1] >= 2
+    assert counts[1][2] <= 2  # neither a text without letters nor one without any is in a language
+
+
 def test_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
