@@ -122,3 +122,16 @@ def test_similarities_of_a_column(spark):
     df = spark.createDataFrame([("martha", "marhta"), (None, "a"), ("", ""), ("abc", ""), ("martha", "marhta"), ("x", None)], "a string, b string")
     got = [r[0] for r in df.coalesce(1).select(jaro_winkler("a", "b")).collect()]
     assert got == [jaro_winkler_bytes(b"martha", b"marhta"), None, 1.0, 0.0, got[0], None]
+
+
+@pytest.mark.parametrize("address", ["a@b", "a.b+c@d-e.f", "Ann Lee <a@b.c>", '"Lee, Ann" <a@b.c>', "<a@b.c>", '"a b"@c.d', "A. B. <a@b.c>", "a@b.c (home (old))", "ann@[192.0.2.1]", "ann@[IPv6:2001:db8::1]", "é@ü.de", "team: a@b.c;", " a@b", "Ann (x) Lee <a@b.c>"])
+def test_addresses(address):
+    from email.utils import parseaddr
+
+    assert parse_address(address)
+    assert "@" in parseaddr(address, strict=False)[1]
+
+
+@pytest.mark.parametrize("address", ["", " ", "a", "a@", "@b", "a@@b", "a@b@c", ".a@b", "a.@b", "a..b@c", "a@.b", "a@b.", "a b@c", "a @b", "a@b, c@d", "Ann a@b.c", "Ann <a@b.c", "<a@b.c> x", '""@b.c', '"a@b.c', "a@[1.2]", "a(b@c.d", "a@b.c (open", "team: a@b.c, d@e.f;", "team:;", "a\x00@b.c", "a;@b.c", "Ann <a@b.c>>"])
+def test_no_addresses(address):
+    assert not parse_address(address)
