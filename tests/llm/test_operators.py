@@ -230,6 +230,30 @@ def test_gumbel_top_k(spark):
     assert all(r["selected"] for r in quality.resample(df, 999).collect()) and not any(r["selected"] for r in quality.resample(df, 0).collect())
 
 
+def test_ties_at_the_cut(spark):
+    rows = [(i, float(i // 5)) for i in range(20)] + [(None, 2.0), (7, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, gumbel_key double")
+    for k in (3, 5, 7, 9, 13):
+        got = [tuple(r) for r in df.where(quality.top_k(df, k)).collect()]
+        want = sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[:k]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_quality_of_odd_rows(spark):
+    """Labelled tables with null, empty, long and repeated texts, and rows without doc_id."""
+    good, bad = [" ".join(f"{a}{i % 7} and the" for a in "xyz") for i in range(60)], ["%%% $$$ %%%$ " * (1 + i % 5) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(200, None), (201, ""), (202, " ".join(good) * 50), (203, bad[0] * 900), (5, good[5]), (None, good[0]), (None, bad[0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, log_weight string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(3, 1)], "doc_id long, quality int")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == len(rows)
+    chosen = Counter((r["doc_id"], r["selected"]) for r in got)
+    assert all(chosen[i, True] >= 1 for i in (200, 201, 202)) and chosen[203, False] == 1 and chosen[5, True] == 2
+    assert chosen[None, True] == 1 == chosen[None, False]
+    kept = quality.keep_selected(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r["selected"] for r in got)
+
+
 def test_quality(spark, docs, no_docs):
     good = [(i, " ".join(f"{a} and {a}s of the" for a in ("tree", "house", "river", "stone")[: 1 + i % 4]) + f" w{i}", int(i % 2)) for i in range(150)]
     rows = [(i, t if q else " ".join(w + "%%%" for w in t.split()), q) for i, t, q in good]
