@@ -196,6 +196,12 @@ def clusters_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.clusters(contacts(spark, sf_dir), DedupeConfig(threshold=0.7))
 
 
+@query(_with(_V, _KEYS, f"pairs AS ({_pairs_sql('ek pk ok')} UNION SELECT a.idx, b.idx FROM k a JOIN k b ON substr(a.nk, 1, 6) = substr(b.nk, 1, 6) AND a.idx < b.idx WHERE a.nk <> '')", _MATCH, _SIMS, _SCORED, "links AS (SELECT a, b FROM scored WHERE score >= CAST(0.25 AS DOUBLE))", *_COMP[len(_LINKS) :]) + "SELECT idx, cluster_id FROM comp")
+def clusters_all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At this threshold an equal name and organization suffice, so all four blocks are needed; organizations are large buckets."""
+    return resolve.clusters(contacts(spark, sf_dir), DedupeConfig(threshold=0.25))
+
+
 @query(_with(*_COMP) + "SELECT count(*) AS total_input, count(*) - count(DISTINCT cluster_id) AS duplicates_found, count(DISTINCT cluster_id) AS clusters_formed FROM comp")
 def dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.dedupe_report(resolve.clusters(contacts(spark, sf_dir)))

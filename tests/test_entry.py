@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind; all of them are checked by the driver at a larger size.
-NAMES = ["normalize_phones", "normalize_emails", "normalize_names", "candidates_email", "duplicate_pairs", "merged_contacts", "to_vcard", "parse_vcards", "csv_rows_dedupe", "csv_rows_mapped", "csv_files_convert", "csv_files_dedupe", "csv_files_normalize", "vcf_files", "vcf_names", "cluster_json", "names_by_service", "strict_emails"]
+NAMES = ["normalize_phones", "normalize_emails", "normalize_names", "candidates_email", "duplicate_pairs", "clusters_all_blocks", "merged_contacts", "to_vcard", "parse_vcards", "csv_rows_dedupe", "csv_rows_mapped", "csv_files_convert", "csv_files_dedupe", "csv_files_normalize", "vcf_files", "vcf_names", "cluster_json", "names_by_service", "strict_emails"]
 
 
 def test_entry(spark):
