@@ -33,6 +33,7 @@ from cardloom.llm.encoders import Learned
 
 SPACE = "▁"
 LONG = 62  # characters: a fold keeps the boundaries of a unit in 63 bits; longer units are cut in Python, by the same rules
+LATIN = 0x180  # characters below it are looked up by code point where they are symbols of their own; others have an edge
 UNKNOWN = 1e6  # cost of a character without a piece on a best path
 _GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -171,13 +172,16 @@ def lattice(units: DataFrame, table: DataFrame, costs: bool = False) -> DataFram
 
     k holds from its highest bits on the rank of an edge's cost, its start, its length and its id; ends and inner have the bits of
     its two boundaries and of those between them. Units must be distinct and of 1 to LONG characters; partitioned by unit as well, nothing is shuffled: the piece table is bounded and broadcast. Substrings meet
-    it by a 64-bit hash, which makes the join a look-up of numbers, and are then compared as they are.
+    it by a 64-bit hash, which makes the join a look-up of numbers, and are then compared as they are. Without costs, single characters
+    below LATIN have an edge at the start of a unit only.
     """
     usable = table.where("kind = 'piece'")
     longest = min(LONG, usable.agg(F.max(F.length("piece"))).first()[0] or 1)
     held = usable.select(F.col("piece").alias("p"), F.xxhash64("piece").alias("h"), F.col("id").alias("pid"), (-F.col("score")).alias("cost"), F.dense_rank().over(Window.orderBy(F.desc("score"))).alias("rank"))  # the piece table: bounded
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("len"))
+    if not costs:
+        subs = subs.where((F.col("len") > 1) | (F.col("s") == 0) | (F.ascii(F.substring(F.col("unit"), F.col("s") + 1, F.lit(1))) >= LATIN))
     subs = subs.withColumn("piece", F.substring(F.col("unit"), F.col("s") + 1, F.col("len")))
     same = (F.xxhash64("piece") == F.col("h")) & F.startswith("piece", "p") & F.startswith("p", "piece")
     found = subs.join(F.broadcast(held), same, "left").where("pid IS NOT NULL OR len = 1")
@@ -236,13 +240,23 @@ def encode_units(units: DataFrame, table: DataFrame, model_type: str = "bpe") ->
     unk = (table.where("kind = 'control'").orderBy("id").first() or {"id": 0})["id"]
     known = F.array(*(F.lit(byte_ids.get(i, unk)) for i in range(256)))
 
+    n = F.length("unit")
+    latin = F.array(*(F.lit(cost[chr(c)][1] if chr(c) in cost else c + (1 << 21)) for c in range(LATIN)))
+    code = lambda i: F.ascii(F.substring(F.col("unit"), i + 1, F.lit(1)))
+
+    def singles(places: Column) -> Column:
+        """Start and id of the characters below LATIN, but the first, that are symbols of their own."""
+        at = F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.call_function("shiftrightunsigned", places, i).bitwiseAND(F.lit(3)) == 3) & (code(i) < LATIN))
+        return F.when(n > 1, F.transform(at, lambda i: i.cast("long") * (1 << 22) + F.element_at(latin, code(i) + 1))).otherwise(F.array().cast("array<bigint>"))
+
     def path(places: Column) -> Column:
         """Start and id of each edge on the path, from left to right."""
 
         on = lambda x: places.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]  # noqa: E731  both ends and nothing between
-        return F.sort_array(F.transform(F.filter("edges", on), lambda x: _start(x["k"]) * (1 << 22) + x["k"].bitwiseAND(F.lit(_ID))))
+        edges = F.transform(F.filter("edges", on), lambda x: _start(x["k"]) * (1 << 22) + x["k"].bitwiseAND(F.lit(_ID)))
+        return F.sort_array(edges if costs else F.concat(edges, singles(places)))
 
-    fold = (viterbi_fold if costs else merge_fold)(F.col("edges"), F.length("unit"))
+    fold = (viterbi_fold if costs else merge_fold)(F.col("edges"), n)
     # places as a variable: as a column the fold would be taken into the filter, and run for each edge
     found = F.element_at(F.transform(F.array(fold), path), 1)
     done = short.select("unit", F.transform(found, lambda x: x.bitwiseAND(F.lit(_ID)).cast("int")).alias("path"))
