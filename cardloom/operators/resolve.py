@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from cardloom.operators.components import connected_components, spanning_links
 from cardloom.storage import save
 
 BLOCKS = ("email", "phone", "org", "name")
+FORMS = ("email_keys", "phone_keys", "name_key", "org_key")
 PAIRED = 256  # members up to which a bucket's pairs are listed; larger buckets are compared in tiles of about so many
 
 
@@ -72,9 +75,15 @@ def score_pairs(pairs: DataFrame, keyed: DataFrame, cfg: DedupeConfig = DedupeCo
     Names count if they are more alike than the gate. only_linked: pairs whose exact parts and a perfect name stay
     below the threshold leave before names are compared, and only scores that reach it are returned.
     """
-    cols = ["email_keys", "phone_keys", "name_key", "org_key"]
-    side = lambda n: keyed.select(F.col("idx").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in cols))
-    p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return _scored(pairs.select("a", "b").join(_side(keyed, "a"), "a").join(_side(keyed, "b"), "b"), cfg, only_linked)
+
+
+def _side(rows: DataFrame, n: str, *by: str) -> DataFrame:
+    return rows.select(*by, F.col("idx").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in FORMS))
+
+
+def _scored(p: DataFrame, cfg: DedupeConfig, only_linked: bool) -> DataFrame:
+    """``score_pairs`` of pairs that come with the comparable forms of both sides."""
     email = F.lit(cfg.email_weight) * _overlap("email_keys_a", "email_keys_b")
     phone = F.lit(cfg.phone_weight) * _overlap("phone_keys_a", "phone_keys_b")
     org = F.lit(cfg.org_weight) * org_match(F.col("org_key_a"), F.col("org_key_b"))
@@ -136,22 +145,18 @@ def _block_links(t: pa.Table, cfg: DedupeConfig) -> tuple[np.ndarray, np.ndarray
     return i[ok], j[ok]
 
 
-def spanning_pairs(classes: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFrame:
-    """(a, b): links that connect what all pairs that share a bucket and reach the threshold connect.
+def _compared(rows: DataFrame, by: list[str], cfg: DedupeConfig) -> DataFrame:
+    """(a, b): links that connect what the pairs of a bucket (``by``) of ``rows`` (by, idx, comparable forms) that reach the threshold connect.
 
     Pairs of buckets of up to PAIRED members are listed and scored. A larger bucket is dealt by hash to tiles, and each pair of
     tiles is a block of at most about two tiles that scores its pairs inside; what leaves it is one link a row at most.
     """
-    blocks = needed_blocks(cfg)
-    if not blocks:
-        return classes.sparkSession.createDataFrame([], "a long, b long")
-    k = save(block_keys(classes, blocks))
-    size = k.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-    few = k.join(size.where(F.col("n") <= PAIRED).select("block", "key"), ["block", "key"], "left_semi")
-    listed = score_pairs(_pairs(few), classes, cfg, only_linked=True).select("a", "b")
-    many = k.join(size.where(F.col("n") > PAIRED), ["block", "key"]).withColumn("tiles", F.ceil(F.col("n") / PAIRED))
+    size = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    few = rows.join(size.where(F.col("n") <= PAIRED).select(*by), by, "left_semi")
+    listed = _scored(_side(few, "a", *by).join(_side(few, "b", *by), by).where("a < b"), cfg, True).select("a", "b")
+    many = rows.join(size.where(F.col("n") > PAIRED), by).withColumn("tiles", F.ceil(F.col("n") / PAIRED))
     many = many.withColumn("t", F.pmod(F.xxhash64("idx"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    many = many.select("block", "key", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "idx").join(classes.select("idx", "email_keys", "phone_keys", "name_key", "org_key"), "idx")
+    many = many.select(*by, F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "idx", *FORMS)
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
@@ -159,7 +164,94 @@ def spanning_pairs(classes: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> Da
         a, b = spanning_links(*_block_links(t, cfg), len(ids))
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
-    return listed.unionAll(many.groupBy("block", "key", "lo", "hi").applyInArrow(run, "a long, b long"))
+    return listed.unionAll(many.groupBy(*by, "lo", "hi").applyInArrow(run, "a long, b long"))
+
+
+def _stars(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): the members of each bucket, each with the smallest."""
+    first = rows.groupBy(*by).agg(F.min("idx").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, by).where("idx <> b").select(F.col("idx").alias("a"), "b")
+
+
+def _reach(base: float, org: float, cfg: DedupeConfig) -> str:
+    """Of pairs with these parts of the score, those linked: "any", those of "like" names, only those of the "same" name, or "none".
+
+    Names of up to L bytes that differ are alike by 1 - 0.2 / L at most, so 1 - 1e-9 lies above them all.
+    """
+    score = lambda s: base + (s * cfg.name_weight if s > cfg.min_name_similarity else 0.0) + org
+    if base + 0.0 + org >= cfg.threshold:
+        return "any"
+    if score(1.0) < cfg.threshold:
+        return "none"
+    return "same" if score(1 - 1e-9) < cfg.threshold else "like"
+
+
+def shared_sets(cfg: DedupeConfig) -> list[tuple[tuple[str, ...], float, tuple[str, str, str]]]:
+    """Sets of keys that linked pairs share, their part of the score, and ``_reach`` with equal, partly equal and other organizations.
+
+    A set is left out if it reaches nothing, or if one of its keys alone links all contacts that share it. Weights are 0 or more.
+    """
+    found: list[tuple[tuple[str, ...], float, tuple[str, str, str]]] = []
+    for shared in ((), ("email",), ("phone",), ("email", "phone")):
+        base = (cfg.email_weight if "email" in shared else 0.0) + (cfg.phone_weight if "phone" in shared else 0.0)
+        equal, part, other = (_reach(base, o * cfg.org_weight, cfg) for o in (1.0, 0.8, 0.0))
+        if equal != "none" and not any(s and set(s) < set(shared) and r[2] == "any" for s, _, r in found):
+            found.append((shared, base, (equal, part, other)))
+    return found
+
+
+def spanning_pairs(classes: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFrame:
+    """(a, b): links that connect what all pairs that share a bucket and reach the threshold connect.
+
+    With weights of 0 or more a pair is linked if some set of keys that it shares (none, an email, a phone, both) reaches the
+    threshold with its names and organizations, so each set is taken alone. In a bucket of equal keys only name and organization
+    count: contacts equal in both are a unit. If the members of a unit are not linked with each other, they are linked
+    with nothing else in the bucket; otherwise each is linked with the first, and only firsts go on. Where any names reach the
+    threshold, or only equal ones, equal keys decide and no pair is made; firsts are compared only where like names
+    count, or organizations that hold one another. With a negative weight all pairs of all buckets are compared.
+    """
+    if not needed_blocks(cfg):
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    if min(cfg.email_weight, cfg.phone_weight, cfg.name_weight, cfg.org_weight) < 0:
+        return _compared(save(block_keys(classes).join(classes.select("idx", *FORMS), "idx")), ["block", "key"], cfg)
+    name, org, none = F.col("name_key"), F.col("org_key"), F.lit("")
+    by, members, starred, paired = ["set", "k", "l", "name_key", "org_key"], [], [], []
+    sets = shared_sets(cfg)
+    for shared, base, (_, _, other) in sets:
+        r = classes.select(F.lit("+".join(shared)).alias("set"), "idx", *FORMS)
+        r = r.withColumn("k", F.explode("email_keys") if "email" in shared else none).withColumn("l", F.explode("phone_keys") if "phone" in shared else none)
+        own = F.lit(base) + F.when((name != "") & F.lit(1.0 > cfg.min_name_similarity), cfg.name_weight).otherwise(0.0) + F.when(org != "", cfg.org_weight).otherwise(0.0)
+        if other == "any" and shared:
+            members.append(r.select("set", "k", "l", none.alias("name_key"), none.alias("org_key"), "idx"))
+        else:
+            members.append(r.where((F.lit(bool(shared)) | (name != "") | (org != "")) & (own >= cfg.threshold)).select(*by, "idx"))
+    rows = reduce(DataFrame.unionAll, members)
+    first = save(rows.groupBy(*by).agg(F.min("idx").alias("idx"), F.count("*").alias("n")))
+    links = [rows.join(first.where("n > 1").select(*by, F.col("idx").alias("b")), by).where("idx <> b").select(F.col("idx").alias("a"), "b")]
+    for shared, _, (equal, part, other) in sets:
+        if other == "any" and shared:
+            continue
+        forms = [(F.array(none) if b in shared else F.array().cast("array<string>")).alias(f"{b}_keys") for b in ("email", "phone")]
+        block = F.lit(True) if shared else name != ""
+        unit = lambda to, kind, c, k=F.col("k"), m=none: to.append(first.where((F.col("set") == "+".join(shared)) & c).select(F.concat("set", F.lit(f" {kind}")).alias("set"), k.alias("k"), "l", m.alias("m"), "idx", *forms, name, org))  # noqa: E731, B023
+        whole = part in ("any", "like") or other in ("any", "like")
+        if equal == "any":
+            unit(starred, "org", org != "", m=org)
+        elif equal == "like" and not (whole and shared):
+            unit(paired, "org", org != "", m=org)
+        if other == "any":
+            unit(starred, "block", block, name_block(name))
+        elif whole:
+            unit(paired, "block", block, F.col("k") if shared else name_block(name))
+        elif other == "same":
+            unit(starred, "name", name != "", m=name)
+        elif part == "same":
+            unit(paired, "name", name != "", m=name)
+    if starred:
+        links.append(_stars(reduce(DataFrame.unionAll, starred), ["set", "k", "l", "m"]))
+    if paired:
+        links.append(_compared(save(reduce(DataFrame.unionAll, paired)), ["set", "k", "l", "m"], cfg))
+    return reduce(DataFrame.unionAll, links)
 
 
 def clusters(contacts: DataFrame, cfg: DedupeConfig = DedupeConfig()) -> DataFrame:

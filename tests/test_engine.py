@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import random
 import types
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cardloom import cli
 from cardloom.config import DEDUPE, NORMALIZE, DedupeConfig, EmailConfig, NameConfig
+from cardloom.functions.similarity import jaro_winkler_bytes
 from cardloom.operators import resolve
 from cardloom.operators.components import connected_components
 from cardloom.operators.normalize import normalize_contacts, normalize_records
@@ -330,6 +332,64 @@ def test_hot_buckets_in_tiles(spark, monkeypatch):
         assert want == {i: comp.get(i, i) for i in range(90)}, cfg
 
 
+def brute_clusters(keyed, cfg):
+    """idx -> cluster_id by the definition: every pair that shares a bucket is scored."""
+    root = {r["idx"]: r["idx"] for r in keyed}
+    org = lambda x, y: 0.0 if not x or not y else 1.0 if x == y else 0.8 if x in y or y in x else 0.0
+    for a, b in itertools.combinations(sorted(keyed, key=lambda r: r["idx"]), 2):
+        x, y = a["name_key"].encode(), b["name_key"].encode()
+        e, p = (float(bool(set(a[c]) & set(b[c]))) for c in ("email_keys", "phone_keys"))
+        s, o = jaro_winkler_bytes(x, y) if x and y else 0.0, org(a["org_key"], b["org_key"])
+        if e or p or o == 1 or (x and x[:6] == y[:6]):
+            name = s * cfg.name_weight if s > cfg.min_name_similarity else 0.0
+            if cfg.email_weight * e + cfg.phone_weight * p + name + cfg.org_weight * o >= cfg.threshold:
+                i, j = sorted((root[a["idx"]], root[b["idx"]]))
+                root = {k: i if v == j else v for k, v in root.items()}
+    return root
+
+
+#: Weights of email, phone, name and organization, threshold and gate; each case links by other sets of keys, equal or like parts.
+LINKS = [
+    (0.4, 0.35, 0.2, 0.05, 0.25, 0.6),
+    (0.4, 0.35, 0.2, 0.05, 0.0, 0.6),
+    (0.4, 0.35, 0.2, 0.05, 0.05, 0.6),
+    (0.4, 0.35, 0.2, 0.05, 0.24, 0.6),
+    (0.1, 0.1, 0.2, 0.0, 0.2, 0.6),
+    (0.3, 0.3, 0.2, 0.05, 0.6, 0.6),
+    (0.3, 0.3, 0.2, 0.1, 0.8, 0.6),
+    (0.3, 0.3, 0.2, 0.05, 0.84, 0.6),
+    (0.4, 0.35, 0.2, 0.05, 0.04, 1.0),
+]
+
+
+def crowd(spark, seed, n=70):
+    rng = random.Random(seed)
+    names = ["ann lee", "Ann Lee", "ann leigh", "annabel lee", "bob ray", "bob rays", "", "", "x", "zoë k", "zoe k"]
+    some = lambda make, top: [make(rng.randrange(top)) for _ in range(rng.choice([0, 0, 1, 1, 2]))]
+    return make(spark, *((rng.choice(names) + rng.choice(["", "", " 1", " 12"]), some(lambda i: f"55501020{i:04}", 40), some(lambda i: f"u{i}@x.yz", 40), rng.choice(["Org", "Org Inc", "org inc ltd", "Zed", "", ""])) for _ in range(n)))
+
+
+@pytest.mark.parametrize("weights", LINKS)
+def test_links_by_the_definition(spark, monkeypatch, weights):
+    cfg = DedupeConfig(*weights)
+    monkeypatch.setattr(resolve, "PAIRED", 6)
+    c = crowd(spark, str(weights))
+    assert {r["idx"]: r["cluster_id"] for r in clusters(c, cfg).collect()} == brute_clusters(with_keys(c).collect(), cfg)
+
+
+def test_no_pairs_where_equal_keys_decide(spark, monkeypatch):
+    """At 0.25 an equal email, phone, or name with organization links, and nothing else does: no pair is scored."""
+
+    def fail(*_, **__):
+        raise AssertionError("pairs are scored")
+
+    c, cfg = crowd(spark, 1), DedupeConfig(threshold=0.25)
+    want = brute_clusters(with_keys(c).collect(), cfg)
+    for f in ("score_pairs", "_scored", "_block_links"):
+        monkeypatch.setattr(resolve, f, fail, raising=False)
+    assert {r["idx"]: r["cluster_id"] for r in clusters(c, cfg).collect()} == want and 1 < len(set(want.values())) < len(want)
+
+
 def test_spool_reads_standard_input(spark, monkeypatch, capsys):
     monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(DUPLICATES.encode())))
     assert cli.main(["normalize"], spark) == 0
