@@ -32,7 +32,8 @@ def block_keys(keyed: DataFrame, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
     """(block, key, idx): one row for each bucket a contact is in."""
     one = lambda c: F.when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
     keys = {"email": F.col("email_keys"), "phone": F.col("phone_keys"), "org": one(F.col("org_key")), "name": one(name_block(F.col("name_key")))}
-    tagged = [F.transform(keys[b], lambda k, b=b: F.struct(F.lit(b).alias("block"), k.alias("key"))) for b in blocks]
+    tag = lambda b: lambda k: F.struct(F.lit(b).alias("block"), k.alias("key"))  # noqa: E731  (F.transform gives a second parameter the index)
+    tagged = [F.transform(keys[b], tag(b)) for b in blocks]
     return keyed.select("idx", F.explode(F.concat(*tagged)).alias("k")).select("k.block", "k.key", "idx")
 
 

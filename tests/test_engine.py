@@ -139,6 +139,13 @@ def test_needed_blocks():
     assert needed_blocks(DedupeConfig(threshold=1.5)) == () and needed_blocks(DedupeConfig(email_weight=0.1)) == ("phone",)
 
 
+def test_buckets_of_several_keys(spark):
+    """A key is in the same bucket wherever it stands among a contact's keys."""
+    keyed = with_keys(make(spark, ("", ["111", "222"], ["a@x.yz"], ""), ("", ["222"], [], ""), ("", [], ["0@x.yz", "a@x.yz"], "")))
+    assert sorted(map(tuple, candidate_pairs(keyed).collect())) == [(0, 1), (0, 2)]
+    assert {r["block"] for r in resolve.block_keys(keyed).collect()} == {"email", "phone"}
+
+
 def test_components(spark):
     import random
 
@@ -359,6 +366,7 @@ LINKS = [
     (0.3, 0.3, 0.2, 0.1, 0.8, 0.6),
     (0.3, 0.3, 0.2, 0.05, 0.84, 0.6),
     (0.4, 0.35, 0.2, 0.05, 0.04, 1.0),
+    (0.4, 0.35, 0.2, -0.05, 0.3, 0.6),
 ]
 
 
